@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, line_dedup, secrets, sharding, url_filter
+from tessera.llm import bpe, line_dedup, minhash, secrets, sharding, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_bpe": bpe.op3_bpe,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_minhash": minhash.op5_minhash,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op10_sharding": sharding.op10_sharding,
 }

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, line_dedup, minhash, secrets, sharding, url_filter
+from tessera.llm import bpe, embedding_dedup, line_dedup, minhash, secrets, sharding, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_minhash": minhash.op5_minhash,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, embedding_dedup, line_dedup, minhash, secrets, sharding, url_filter
+from tessera.llm import bpe, decontamination, embedding_dedup, line_dedup, minhash, secrets, sharding, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_minhash": minhash.op5_minhash,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op10_sharding": sharding.op10_sharding,
 }
@@ -17,4 +18,5 @@ QUERIES = {
 ORACLES = {
     "op1_url_filter": url_filter.oracle(),
     "op4_line_dedup": line_dedup.ORACLE,
+    "op6_decontamination": decontamination.ORACLE,
 }

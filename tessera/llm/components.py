@@ -41,18 +41,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return nodes.union(now.select("v", "v").distinct())
 
 
-def in_blocks(rows: DataFrame, group: Column, member: Column, size: Column, block: int) -> DataFrame:
-    """Rows with columns bin, i, j, b: every two rows of a group share one (bin, i, j), of about 2 * ``block`` rows at most.
+def in_blocks(rows: DataFrame, group: Column, member: Column, size: Column, unit: Column, block: int) -> DataFrame:
+    """Rows with columns bin, i, j, b: every two rows of a group share one (bin, i, j), of about 2 * ``block`` units at most.
 
-    Groups of up to ``block`` rows share bins with others of their kind; a larger one gets its rows
-    dealt into blocks b by their hash, and i, j go over pairs of blocks. Rows of one bin may
-    be of different groups, so compare only those of equal ``group``.
+    A row has ``unit`` units, its group ``size``. Groups of up to ``block`` units share bins with
+    others of their kind; a larger one gets its rows dealt into blocks b by their hash, and i, j go
+    over pairs of blocks. Rows of one bin may be of different groups, so compare only those of
+    equal ``group``.
     """
     n = F.ceil(size / F.lit(block)).cast("long")
-    small_rows = rows.where(size <= block).count()
-    bins = max(1, -(-small_rows // block))
-    small = rows.where(size <= block).select("*", F.pmod(F.xxhash64(group), F.lit(bins)).cast("string").alias("bin"), F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).cast("long").alias("b"))
-    large = rows.where(size > block).select("*", F.concat(F.lit("g"), group.cast("string")).alias("bin"), F.pmod(F.xxhash64(member), n).alias("b"), n.alias("_n"))
-    large = large.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    units = rows.where(size <= block).agg(F.coalesce(F.sum(unit), F.lit(0))).first()[0]
+    bins = max(1, -(-units // block))
+    zero = F.lit(0).cast("long")
+    small = rows.where(size <= block).withColumns({"bin": F.pmod(F.xxhash64(group), F.lit(bins)).cast("string"), "i": zero, "j": zero, "b": zero})
+    large = rows.where(size > block).withColumns({"bin": F.concat(F.lit("g"), group.cast("string")), "b": F.pmod(F.xxhash64(member), n), "_n": n})
+    large = large.withColumn("_k", F.explode(F.sequence(zero, F.col("_n") - 1)))
     large = large.withColumns({"i": F.least("b", "_k"), "j": F.greatest("b", "_k")}).drop("_k", "_n")
     return small.unionByName(large)

@@ -7,10 +7,11 @@ with equal shingle sets form a class, represented by its smallest id. Then, amon
 1. every member of a bucket is compared with the bucket's smallest id, which joins large groups of
    near copies in time linear in their size;
 2. in buckets that still hold several components, all pairs across components are compared, in
-   blocks of bounded size, so no bucket is capped and none is held by one task.
+   blocks of bounded size, so no bucket is capped and none is held by one task. Sets are compared
+   in place and only links leave a block, so pairs that don't link are never rows.
 
-Before texts are fetched, pairs far from the threshold drop out by set size, which is exact, and by
-their 96 one-byte sketches, where five standard errors below the threshold remain. What remains is
+Before sets are compared, pairs far from the threshold drop out by set size, which is exact, and by
+their 96 one-byte sketches, where pairs four standard errors below the threshold remain. What remains is
 confirmed on the full sets of both texts. Components come from linked pairs.
 
 Edge cases: null, empty and blank texts have no shingles and link with nothing; a text of fewer
@@ -33,8 +34,10 @@ from tessera.llm.components import connected_components, in_blocks
 from tessera.runtime import materialize, ship, table
 
 PERMUTATIONS, ROWS = 48, 4
-#: Sketch estimates of linked pairs fall this far below the threshold once in about a million.
-MARGIN = 0.22
+#: Four standard errors of an estimate from 96 values at similarity 0.8.
+MARGIN = 0.17
+#: A document is one unit of a block, and one more for this many shingles.
+UNIT = 1000
 BLOCK = 1024
 #: Ids up to this many are broadcast to fetch texts (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
@@ -106,11 +109,15 @@ def _near_enough(pairs: DataFrame, known: DataFrame, threshold: float) -> DataFr
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the documents with ``ids``."""
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "minhash-texts")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of ``pairs`` (a, b), those whose full shingle sets have the similarity asked for."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "minhash-texts")
+    texts = _texts(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
 
     def run(batches):
@@ -131,32 +138,55 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, threshold: float) -> DataFrame:
-    """a, b (a > b): pairs of one bucket and different components that may reach the threshold."""
+def _links_across(open_rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b: a forest of the linked pairs of one bucket whose components differ.
+
+    A pair is looked at in the first band that it shares only. Sets are compared in place, so
+    pairs that don't link are never rows, and documents that have been joined aren't compared again.
+    """
+    threshold = percent / 100
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from tessera.llm.shingles import estimate
+        from tessera.llm.shingles import estimate, shingle_set
 
         pdf = pdf.sort_values(["bucket", "doc_id"], ignore_index=True)
         bucket, ids, comp, n, block = (pdf[c].to_numpy() for c in ("bucket", "doc_id", "component", "n_shingles", "b"))
+        comp = comp.copy()
         sketch = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint8).reshape(len(pdf), -1)
-        across = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+        bands = np.stack(pdf["buckets"].to_numpy())
+        between = pdf["i"].iloc[0] != pdf["j"].iloc[0]
         cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(pdf)]
+        sets: dict[int, set] = {}
         out = []
+
+        def whole(row: int) -> set:
+            if row not in sets:
+                sets[row] = set(shingle_set(pdf["text"].iloc[row], k).tolist())
+            return sets[row]
+
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            sets.clear()
+            if hi - lo == 1 or (comp[lo:hi] == comp[lo]).all():
+                continue
+            band = int(np.flatnonzero(bands[lo] == bucket[lo])[0])
             for x in range(lo, hi - 1):
-                rest = slice(x + 1, hi)
-                ok = (comp[rest] != comp[x]) & (np.minimum(n[rest], n[x]) >= threshold * np.maximum(n[rest], n[x]))
-                if across:
-                    ok &= block[rest] != block[x]
-                if ok.any():
-                    y = np.flatnonzero(ok) + x + 1
-                    y = y[estimate(sketch[y], sketch[x]) >= threshold - MARGIN]
-                    out.append(np.stack([ids[y], np.full(len(y), ids[x])], axis=1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame({"a": pairs.max(axis=1), "b": pairs.min(axis=1)})
-
-    blocks = in_blocks(members, F.col("bucket"), F.col("doc_id"), F.col("size"), BLOCK)
+                y = np.arange(x + 1, hi)
+                y = y[(comp[y] != comp[x]) & (np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]))]
+                if between:
+                    y = y[block[y] != block[x]]
+                y = y[(bands[y] == bands[x]).argmax(axis=1) == band]
+                if len(y):
+                    guess = estimate(sketch[y], sketch[x])
+                    for z in y[np.argsort(-guess)][: int((guess >= threshold - MARGIN).sum())]:
+                        if comp[z] != comp[x]:
+                            p, q = whole(x), whole(z)
+                            both = len(p & q)
+                            if 100 * both >= percent * (len(p) + len(q) - both):
+                                out.append((ids[z], ids[x]))
+                                comp[comp == comp[z]] = comp[x]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    blocks = in_blocks(open_rows, F.col("bucket"), F.col("doc_id"), F.col("units"), F.col("unit"), BLOCK)
     return blocks.groupBy("bin", "i", "j").applyInPandas(run, "a long, b long").distinct()
 
 
@@ -180,14 +210,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     several = own.where("doc_id <> rep").join(own.groupBy("doc_id").count().where("count > 1"), "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = links.union(several)
 
-    joined = connected_components(links)
+    joined = materialize(connected_components(links), "minhash-joined")
     labelled = members.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("bucket")
-    open_rows = labelled.join(mixed, "bucket", "left_semi").join(reps.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    open_rows = materialize(open_rows.select("bucket", "doc_id", "component", "size", "n_shingles", "sketch"), "minhash-open")
-    more = materialize(_across(open_rows, threshold).join(stars, ["a", "b"], "left_anti"), "minhash-across")
+    unit = 1 + F.floor(F.col("n_shingles") / UNIT)
+    labelled = labelled.select("bucket", "doc_id", "component").join(reps.select("doc_id", "n_shingles", "sketch", "buckets").withColumn("unit", unit), "doc_id")
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.sum("unit").alias("units")).where("c1 <> c2").select("bucket", "units")
+    open_rows = materialize(labelled.join(mixed, "bucket"), "minhash-open")
+    texts = _texts(docs, open_rows.select("doc_id").distinct())
+    more = materialize(_links_across(open_rows.join(texts, "doc_id"), k, percent), "minhash-across")
     if not more.isEmpty():
-        joined = connected_components(links.union(_confirmed(more, docs, k, percent)))
+        joined = connected_components(links.union(more))
 
     of_class = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "p1", "p2", F.coalesce("component", "rep").alias("component_id"))
     keyed = known.select("doc_id", "n_shingles", "p1", "p2")

@@ -206,7 +206,7 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, ids (array of int) of every row; ``vocabulary`` is a path on every executor."""
+    """doc_id, ids (array of int), decoded_sha256 (of the ids' decoded text) of every row; ``vocabulary`` is a path on every executor."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,11 +214,12 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
         c = codec(vocabulary)
         for b in batches:
-            packed = [c.encode(t) for t in b.column(1).to_pylist()]
+            packed = [c.encode(t.as_py()) for t in b.column(1)]
+            back = pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in packed], pa.string())
             ids = pa.ListArray.from_arrays(np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, back], ["doc_id", "ids", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, decontamination, embedding_dedup, line_dedup, minhash, secrets, sharding, url_filter
+from tessera.llm import bpe, decontamination, embedding_dedup, line_dedup, minhash, quality, secrets, sharding, toxicity, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -11,7 +11,9 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_minhash": minhash.op5_minhash,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_secret_scan": secrets.op8_secret_scan,
+    "op9_quality": quality.op9_quality,
     "op10_sharding": sharding.op10_sharding,
 }
 

@@ -9,7 +9,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SHIPPED = "tessera.shipped"
+_shipped: set[str] = set()  # ids of applications; a name can be added to one only once
 _OWN_DIR = "/tmp/tessera-checkpoints"
 
 
@@ -25,7 +25,7 @@ def ship(spark: SparkSession) -> None:
     neither the repository nor a shared folder.
     """
     sc = spark.sparkContext
-    if sc.getLocalProperty(_SHIPPED) == sc.applicationId:
+    if sc.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.abspath(__file__))
     target = os.path.join(tempfile.mkdtemp(prefix="tessera"), "tessera_package.zip")
@@ -36,7 +36,7 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     out.write(full, os.path.join("tessera", os.path.relpath(full, top)))
     sc.addPyFile(target)
-    sc.setLocalProperty(_SHIPPED, sc.applicationId)
+    _shipped.add(sc.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -2,6 +2,7 @@
 
 import importlib.util
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,17 @@ def test_engine(spark, engine, tmp_path):
     assert engine.status(str(tmp_path / "missing"))["errors"]
 
 
+def test_background_run(spark, engine, tmp_path):
+    root = str(tmp_path / "src")
+    tree(root, {f"d{i % 3}/f{i}.py": f"def f{i}():\n    return {i}\n" for i in range(30)})
+    assert engine.index(root, background=True)["started"]
+    assert engine.index(root, background=True)["message"] == "indexing already in progress"
+    until = time.time() + 120
+    while engine.status(root)["running"] and time.time() < until:
+        time.sleep(0.2)
+    assert engine.status(root)["phase"] == "done" and engine.status(root)["done"] == 30 and len(paths(engine, root)) == 30
+
+
 def test_a_failed_run_changes_nothing(spark, tmp_path):
     engine = Engine(spark, Settings(index_dir=str(tmp_path / "index"), embed_dim=3), Flaky())
     root = str(tmp_path / "src")

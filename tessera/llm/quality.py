@@ -34,7 +34,7 @@ from tessera.runtime import materialize, ship, table
 
 ORDER = 5
 QUANTILE = 0.99
-BROADCAST_ROWS = 3_000_000
+BROADCAST_ROWS = 8_000_000
 #: Bytes of text taken at once.
 SEGMENT = 1 << 20
 NO_LANG = ""
@@ -177,23 +177,26 @@ def log_probability(model: Lookup, gram: np.ndarray) -> float:
 
 
 def _scored_in_place(docs: DataFrame, model: DataFrame) -> DataFrame:
-    rows = model.select("lang", (F.col("gram").bitwiseOR(F.col("kind").cast("long") * (1 << 40))).alias("key"), F.col("value").cast("float").alias("value")).toPandas()  # BROADCAST_ROWS at most
-    shared = docs.sparkSession.sparkContext.broadcast({lang: (x["key"].to_numpy(), x["value"].to_numpy()) for lang, x in rows.groupby("lang")})
+    # Numbers only, as Arrow: BROADCAST_ROWS rows of 20 bytes at most.
+    rows = model.select(F.xxhash64("lang").alias("of"), (F.col("gram").bitwiseOR(F.col("kind").cast("long") * (1 << 40))).alias("key"), F.col("value").cast("float").alias("value")).toArrow()
+    of, key, value = (rows.column(c).to_numpy() for c in ("of", "key", "value"))
+    shared = docs.sparkSession.sparkContext.broadcast({int(k): (key[of == k], value[of == k]) for k in np.unique(of)})
+    del rows, of, key, value
 
     def run(batches):
         from tessera.llm.quality import Lookup, log_probability, text_grams
 
-        models = {lang: Lookup(*x) for lang, x in shared.value.items()}
+        models = {k: Lookup(*x) for k, x in shared.value.items()}
         for b in batches:
             n, total = [], []
-            for lang, t in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+            for k, t in zip(b.column(3).to_pylist(), b.column(2), strict=True):
                 raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
                 n.append(len(raw))
-                total.append(sum(log_probability(models[lang], g) for g in text_grams(raw)) if lang in models and raw else None)
+                total.append(sum(log_probability(models[k], g) for g in text_grams(raw)) if k in models and raw else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "lang", "n_bytes", "total"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, lang string, n_bytes long, total double")
+    return docs.withColumn("of", F.xxhash64("lang")).mapInArrow(run, f"doc_id {kind}, lang string, n_bytes long, total double")
 
 
 def _scored_by_joins(docs: DataFrame, model: DataFrame) -> DataFrame:

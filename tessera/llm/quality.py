@@ -35,6 +35,8 @@ from tessera.runtime import materialize, ship, table
 ORDER = 5
 QUANTILE = 0.99
 BROADCAST_ROWS = 8_000_000
+#: Ids of trusted documents up to this many (8 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 4_000_000
 #: Bytes of text taken at once.
 SEGMENT = 1 << 20
 NO_LANG = ""
@@ -234,7 +236,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE
     fold = lambda c: F.crc32(c.cast("string").cast("binary")) % 5
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
     texts = docs.select("doc_id", F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text")
-    model = train(texts.join(trusted.where(fold(F.col("doc_id")) > 1), "doc_id", "left_semi"))
+    ids = materialize(trusted.where(fold(F.col("doc_id")) > 1), "kn-trusted")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids  # else texts are dealt by id
+    model = train(texts.join(ids, "doc_id", "left_semi"))
     score = _scored_in_place if model.count() <= broadcast_rows else _scored_by_joins
     scored = score(texts, model)
     scored = materialize(scored.withColumn("perplexity", F.exp(-F.col("total") / F.col("n_bytes"))), "kn-scores")

@@ -131,6 +131,25 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicate_vectors(df.where("false")).count() == 0
 
 
+def test_embedding_dedup_in_a_dense_label(spark):
+    """Pairs at 0.982 among vectors that are all at 0.9 to each other, in many blocks: each link is found."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((3000, 64))
+    x[:, 0] = 0
+    x = 0.1**0.5 * x / np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, 600, 2):  # partners: the rest turned so far that the pair's cosine is 0.982
+        away = x[i + 1] - x[i] * (x[i] @ x[i + 1]) / (x[i] @ x[i])
+        x[i + 1] = 0.82 * x[i] + (1 - 0.82**2) ** 0.5 * 0.1**0.5 * away / np.linalg.norm(away)
+    x[:, 0] = 0.9**0.5
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicate_vectors(df).collect()}
+    linked = x @ x.T >= 0.98
+    np.fill_diagonal(linked, False)
+    assert linked.sum() >= 600
+    want = components(range(len(x)), np.argwhere(linked).tolist())
+    assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (linked[i].sum(), c, c == i) for i, c in want.items()}
+
+
 # 3
 
 

@@ -13,6 +13,7 @@ import ast
 import io
 import re
 import tokenize
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from tessera.operators.line_chunks import MAX_LINES, MERGE_LINES, OVERLAP, window_options
 from tessera.runtime import ship
 
+#: Chunks that are passed on at once; a batch of files may hold many times more.
+PIECE = 20_000
 #: Part of an index's identity: other chunks make all its files count as changed.
 CHUNKER_VERSION = "1"
 LANGUAGES = {".go": "go", ".py": "python", ".js": "js", ".jsx": "js", ".mjs": "js", ".cjs": "js", ".ts": "ts", ".tsx": "ts", ".cs": "csharp"}
@@ -96,7 +99,7 @@ def _python(text: str) -> list[Decl]:
         return d
 
     out = [decl(n) for n in tree.body]
-    for t in tokenize.generate_tokens(io.StringIO(text).readline):
+    for t in tokenize.generate_tokens(io.StringIO(text).readline) if "#" in text else ():
         if t.type == tokenize.COMMENT:
             p = at(1, 0) + starts[t.start[0] - 1] + t.start[1]
             if not any(d.start <= p < d.end for d in out):
@@ -251,7 +254,8 @@ def chunk_source(path: str, content: bytes | str | None, max_lines: int = MAX_LI
     if lang is None:
         return line_chunks(text, 1, "", max_lines, overlap)
     size = window_options(max_lines, overlap)[0]
-    row = lambda p: text.count("\n", 0, p) + 1
+    ends = [m.start() for m in re.finditer("\n", text)]
+    row = lambda p: bisect_left(ends, p) + 1
 
     def chunks(d: Decl, prefix: str) -> list[Chunk]:
         symbol = f"{prefix}.{d.name}" if prefix and d.name else d.name
@@ -276,8 +280,9 @@ def code_chunks(files: DataFrame, key: str = "path", max_lines: int = MAX_LINES,
     ship(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from tessera.operators.code_chunks import chunk_source
+        from tessera.operators.code_chunks import PIECE, chunk_source
 
+        table = lambda rows: pd.DataFrame(rows, columns=["key", "ordinal", "start_line", "end_line", "symbol", "content", "error"])
         for pdf in batches:
             out = []
             for k, path, content in zip(pdf["_key"], pdf["path"], pdf["content"], strict=True):
@@ -286,7 +291,10 @@ def code_chunks(files: DataFrame, key: str = "path", max_lines: int = MAX_LINES,
                         out.append((k, i, c.start_line, c.end_line, c.symbol, c.content, None))
                 except Exception as e:  # one file's failure is reported and leaves the others alone
                     out.append((k, -1, 0, 0, "", "", f"{path}: {e}"))
-            yield pd.DataFrame(out, columns=["key", "ordinal", "start_line", "end_line", "symbol", "content", "error"])
+                if len(out) >= PIECE:
+                    yield table(out)
+                    out = []
+            yield table(out)
 
     kind = files.schema[key].dataType.simpleString()
     rows = files.select(F.col(key).alias("_key"), "path", "content").mapInPandas(run, f"key {kind}, ordinal int, start_line int, end_line int, symbol string, content string, error string")

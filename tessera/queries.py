@@ -147,8 +147,8 @@ def merge_trivial(spark, d):
 
 @query()
 def code_chunks(spark, d):
-    """Declaration chunks of a small Python file made of each document's first words."""
-    body = F.concat_ws("\n", F.transform(F.slice(F.split(F.regexp_replace("text", r"[^A-Za-z\s]", ""), r"\s+"), 1, 6), lambda w: F.concat(F.lit("def f_"), w, F.lit("(x):\n    return x\n"))))
+    """Declaration chunks of a Python file made of all words of each document, a function for each."""
+    body = F.concat_ws("\n", F.transform(F.split(F.regexp_replace("text", r"[^A-Za-z\s]", ""), r"\s+"), lambda w: F.concat(F.lit("def f_"), w, F.lit("(x):\n    return x\n"))))
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))
     return cc.code_chunks(docs, "doc_id").select("doc_id", "ordinal", "start_line", "end_line", "symbol", "content")
 

@@ -2,6 +2,7 @@
 
 import importlib.util
 import os
+import re
 import time
 
 import pytest
@@ -203,6 +204,18 @@ def test_catalogue(spark, duck, name):
     assert sorted((row(r) for r in df.select(columns).collect()), key=repr) == sorted(map(row, got.fetchall()), key=repr)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_code_chunks_of_whole_documents(spark):
+    """A chunk for each word of each document, to the last."""
+    got = {}
+    for r in sorted(__spark_entry__.queries()["code_chunks"](spark, SF).select("doc_id", "ordinal", "start_line", "symbol").collect()):
+        got.setdefault(r.doc_id, []).append((r.ordinal, r.start_line, r.symbol))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").collect()}
+    words = {i: re.split(r"\s+", re.sub(r"[^A-Za-z\s]", "", t, flags=re.ASCII), flags=re.ASCII) for i, t in texts.items()}
+    assert max(map(len, words.values())) > 1000
+    assert got == {i: [(n, 3 * n + 1, f"f_{w}") for n, w in enumerate(ws)] for i, ws in words.items()}
+
+
 def test_entry_without_llm(monkeypatch):
     real = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("tessera.llm", "corpus_pipeline") else real(name, *a))

@@ -254,9 +254,19 @@ SELECT query_id, chunk_id, round(score, 6) AS score, CAST(r AS INT) AS rank FROM
 )
 def dense_batch_topk(spark, d):
     """Ten neighbours for each of the five stated query vectors."""
+    return _batch(spark, d, "vec_id < 5")
+
+
+@query()
+def dense_batch_topk_all(spark, d):
+    """Ten neighbours for every hundredth vector, at any scale."""
+    return _batch(spark, d, "vec_id % 100 = 0")
+
+
+def _batch(spark, d, asked: str) -> DataFrame:
     own = table(spark, d, "embeddings")
-    queries = own.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return dense.batch_top_k(own.select(F.col("vec_id").alias("chunk_id"), "embedding"), F.broadcast(queries), 10, digits=9).withColumn("score", F.round("score", 6))
+    queries = own.where(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return dense.batch_top_k(own.select(F.col("vec_id").alias("chunk_id"), "embedding"), queries, 10, digits=9).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_V}, t AS (SELECT * FROM s ORDER BY score DESC, chunk_id LIMIT 50) SELECT chunk_id, source || '/' || doc_id AS path, text AS content, round(score, 6) AS score FROM t JOIN documents ON doc_id = chunk_id")

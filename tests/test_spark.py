@@ -5,6 +5,7 @@ import os
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +40,34 @@ def test_dense(spark, top):
         Tuning(dense_k=-1)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_batch_search_of_every_hundredth_vector(spark):
+    rows = sorted(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect())
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = {}
+    for q in np.flatnonzero(ids % 100 == 0):
+        s = np.round(x @ x[q], 9)
+        want[ids[q]] = [(ids[i], n + 1, pytest.approx(s[i], abs=1e-6)) for n, i in enumerate(np.lexsort((ids, -s))[:10])]
+    got = {}
+    for r in sorted(__spark_entry__.queries()["dense_batch_topk_all"](spark, "/root/testdata/sf0.1").collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.chunk_id, r["rank"], r.score))
+    assert len(got) == 20 and got == want
+
+
+def test_batch_search_in_blocks(spark):
+    """Ties, zero vectors, other dimensions and nulls, with queries and vectors in several blocks."""
+    rows = [(i, [float(i % 5), float(i % 3), 1.0]) for i in range(200)] + [(300, [0.0] * 3), (301, [1.0, 0.0]), (302, None), (303, [None, 1.0, 1.0])]
+    v = vectors(spark, rows)
+    queries = v.where("chunk_id % 10 = 0 or chunk_id = 301").selectExpr("chunk_id AS query_id", "embedding AS query")
+    got = sorted((r.query_id, r["rank"], r.chunk_id) for r in dense.batch_top_k(v, queries, 7, 9, least=60, most=30).collect())
+    good, want = [(i, np.array(e)) for i, e in rows if e and None not in e], []
+    for i, q in ((i, e) for i, e in good if i % 10 == 0 or i == 301):
+        near = sorted((-round(float(q @ e / (np.linalg.norm(q) * np.linalg.norm(e) or 1)), 9), j) for j, e in good if len(e) == len(q))[:7]
+        want += [(i, n + 1, j) for n, (_, j) in enumerate(near)]
+    assert got == sorted(want)
+
+
 def test_fusion(spark):
     lists = [spark.createDataFrame(x, "chunk_id long, score double") for x in ([(1, 0.9), (2, 0.5)], [(2, 7.0), (3, 3.0)])]
     want = [(2, 1 / 61 + 1 / 62), (1, 1 / 61), (3, 1 / 62)]

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,18 @@ def test_url_propagation(spark):
     assert verdicts[1] == "block" and verdicts[4] == "allow"
 
 
+def test_url_propagation_reaches_far_hosts(spark):
+    """A chain of hosts, each linking to the one before, from a blocked host: those 11 to 14 links away are blocked too."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [("http://bad.com/en/1", None)] + [(f"http://h{i}.io/", f'<a href="http://{f"h{i - 1}.io" if i > 1 else "bad.com"}/x">') for i in range(1, 25)] + [(f"http://lone{i}.io/", None) for i in range(100)]
+    pages = pd.DataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], columns=["page_id", "url", "html"])
+    found = url_filter.filter_urls(spark.createDataFrame([tuple(r) for r in pages.itertuples(index=False)], "page_id long, url string, html string")).collect()
+    want = duckdb.execute(url_filter.oracle(iterations=40)).fetchall()
+    assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
+    verdicts = {r.page_id: r.verdict for r in found}
+    assert [verdicts[i] for i in range(25)] == ["block" if 0.15 * 0.85**i >= 1 / 125 else "allow" for i in range(25)] and verdicts[14] == "block"
+
+
 # 2
 
 

@@ -4,8 +4,8 @@ Candidates are runs of 20 or more characters that keys are written in. Each has
 (hexadecimal, alphanumeric, or with base64's signs); a window of ``WINDOW`` characters slides
 over it and its entropy follows from counts that change by one character in and one out. Windows
 that reach the class's threshold, with letters and digits in them, form spans of kind ``entropy``.
-An allow-list suppresses UUIDs, plain numbers, runs in order, placeholders, and paths or names
-made of words. Spans that touch a pattern's span add nothing and are left out.
+An allow-list suppresses UUIDs, plain numbers, and paths or names made of words; a piece between separators
+that holds a placeholder or a run in order is cut out, and what stands beside it is judged alone. Spans that touch a pattern's span add nothing and are left out.
 
 Edge cases: null and empty texts have no spans; texts are scanned whole; null ids and repeated
 rows are rows like any other; an empty table gives an empty result; other columns are ignored.
@@ -37,10 +37,12 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _ALLOWED = re.compile(
     r"[0-9]+|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
-    r"|.*(?:example|sample|dummy|changeme|placeholder|your[-_]|x{6}|0123456789|abcdefgh|(.)\1{5}).*"
     r"|(?:[A-Z]?[a-z]*[0-9]{0,2}[-_/=+]+)*[A-Z]?[a-z]*[0-9]{0,2}",
     re.IGNORECASE | re.DOTALL,
 )
+_PLACEHOLDER = re.compile(r"example|sample|dummy|changeme|placeholder|your[-_]|x{6}|0123456789|abcdefgh|([A-Z0-9])\1{5}", re.IGNORECASE | re.ASCII)
+_SEPARATORS = "-_/=+"
+_PIECE_END, _NAME_END = re.compile(r"[-_/=+]"), re.compile(r"[/=+]")
 _WORDS = re.compile(r"(?:[A-Za-z]+[0-9]{0,2}|[0-9]{1,4})(?:[-_/=+]+(?:[A-Za-z]+[0-9]{0,2}|[0-9]{1,4}))*[-_/=+]*")
 _C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
@@ -77,11 +79,25 @@ def window_entropies(s: str, window: int = WINDOW) -> Iterator[float]:
             counts[old] = n - 1
 
 
+def stretches(s: str) -> Iterator[tuple[int, str]]:
+    """(start, part): ``s`` without the pieces between separators that hold a placeholder."""
+    at = 0
+    while m := _PLACEHOLDER.search(s, at):
+        begin = max(at, *(s.rfind(c, at, m.start()) + 1 for c in _SEPARATORS))
+        end = (_NAME_END if m.group()[-1] in "-_" else _PIECE_END).search(s, m.end())
+        yield at, s[at:begin].rstrip(_SEPARATORS)
+        if not end:
+            return
+        at = end.end()
+        while at < len(s) and s[at] in _SEPARATORS:
+            at += 1
+    yield at, s[at:]
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     out = []
-    for m in _CANDIDATE.finditer(text):
-        s, first = m.group(), m.start()
-        if s.isalpha() or _ALLOWED.fullmatch(s) or _WORDS.fullmatch(s):
+    for first, s in ((m.start() + at, part) for m in _CANDIDATE.finditer(text) for at, part in stretches(m.group())):
+        if len(s) < WINDOW or s.isalpha() or _ALLOWED.fullmatch(s) or _WORDS.fullmatch(s):
             continue
         least = THRESHOLDS[char_class(s)]
         for i, bits in enumerate(window_entropies(s)):

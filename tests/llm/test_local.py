@@ -98,6 +98,16 @@ def test_entropy_spans_and_allow_list():
     assert secrets.find_spans(None) == secrets.find_spans("") == ([], [])
 
 
+def test_entropy_spans_beside_placeholders():
+    """A key is found beside an allowed word, at the place where it stands."""
+    key = "ghp_q7Zr9TtX2mVb8KwLpN4cYs6D"
+    for text in (key, f"/example/{key}", f"sampled={key}", f"{key}/dummy", f"xxxxxx-{key}==example", f"your_name/{key}"):
+        at = text.index(key)
+        assert secrets.find_spans(text) == ([], [(at, 3, at + len(key))]), text
+    for plain in ("your_q7Zr9TtX2mVb8KwLpN4cYs6D", "/docs/example7Zr9TtX2mVb8KwLpN4cYs/a", "q7Zr9TtX/example/2mVb8KwLpN4"):
+        assert secrets.find_spans(plain) == ([], [])
+
+
 def test_best_fit_decreasing_against_a_plain_search():
     rng = random.Random(2)
     for _ in range(50):

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -108,6 +109,64 @@ def test_entropy_spans_beside_placeholders():
         assert secrets.find_spans(plain) == ([], [])
 
 
+def plain_entropy_spans(text):
+    """Entropy spans with every window counted anew, pieces judged one by one, and no incremental state."""
+    covered = set()
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        run, base = m.group(), m.start()
+        pieces = [(p.start(), p.end()) for p in re.finditer(r"[^-_/=+]+", run)]
+        bad = [(x.start(), x.end(), x.group()[-1] in "-_") for x in re.finditer(secrets._PLACEHOLDER, run)]
+        alive = [True] * len(run)
+        for a, b, joins in bad:
+            begin = max([run.rfind(c, 0, a) + 1 for c in "-_/=+"])
+            after = [i for i in range(b, len(run)) if run[i] in ("/=+" if joins else "-_/=+")]
+            end = after[0] if after else len(run)
+            alive[begin:end] = [False] * (end - begin)
+        parts, at = [], 0
+        for i in range(len(run) + 1):
+            if i == len(run) or not alive[i]:
+                if i > at:
+                    lo, hi = at, i
+                    while at > 0 and lo < hi and run[lo] in "-_/=+":
+                        lo += 1
+                    while i < len(run) and hi > lo and run[hi - 1] in "-_/=+":
+                        hi -= 1
+                    parts.append((lo, hi))
+                at = i + 1
+        for lo, hi in parts:
+            s = run[lo:hi]
+            words = all(re.fullmatch(r"[A-Za-z]+\d{0,2}|\d{1,4}", p) for p in re.split(r"[-_/=+]", s) if p)
+            if words or s.isdigit() or re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", s):
+                continue
+            least = secrets.THRESHOLDS["hex" if re.fullmatch("[0-9a-fA-F]*", s) else "alnum" if re.fullmatch("[A-Za-z0-9]*", s) else "base64"]
+            for i in range(len(s) - secrets.WINDOW + 1):
+                w = s[i : i + secrets.WINDOW]
+                bits = -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w))
+                if bits >= least - 1e-9 and re.search("[0-9]", w) and re.search("[A-Za-z]", w):
+                    covered |= set(range(base + lo + i, base + lo + i + secrets.WINDOW))
+    return sorted(covered)
+
+
+@settings(max_examples=150, deadline=500)
+@given(st.lists(st.sampled_from(["q7Zr9TtX2mVb8KwLpN4cYs6D", "0f1e2d3c4b5a69788796", "example", "your_", "/", "-", "=", "_name_", "word12", "2024", " ", "xxxxxx", "Ab3dE5", "550e8400-e29b-41d4-a716-446655440000", "a1b2c3d4e5f6g7h8i9j0k"]), max_size=10).map("".join))
+def test_entropy_spans_against_a_plain_version(text):
+    """Every character of an entropy span is in some window that a plain search finds, and the other way round."""
+    assert sorted({i for a, b in secrets.entropy_spans(text) for i in range(a, b)}) == plain_entropy_spans(text)
+
+
+@settings(max_examples=60, deadline=200)
+@given(st.lists(st.sampled_from("-=_/+ab9Z"), min_size=1, max_size=6).map("".join), st.integers(1, 10_000), st.sampled_from(["", "12345x", "q7Zr9TtX2mVb8KwLpN4cYs6D", "%"]))
+def test_repetitive_runs_take_linear_time(unit, size, tail):
+    secrets.find_spans((unit * size)[:10_000] + tail)
+
+
+@pytest.mark.parametrize("text", ["-=" * 5_000 + "12345678901x", "/".join(["ab"] * 3_400) + "/12345x", "a1" * 5_000 + "-", "token" + " " * 10_000, "example" * 1_500, "_9" * 5_000 + "xx"])
+def test_long_dividers_and_paths_are_quick(text):
+    begun = time.perf_counter()
+    secrets.find_spans(text)
+    assert time.perf_counter() - begun < 0.2
+
+
 def test_best_fit_decreasing_against_a_plain_search():
     rng = random.Random(2)
     for _ in range(50):

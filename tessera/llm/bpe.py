@@ -39,6 +39,24 @@ END = "</w>"
 #: Unicode's White_Space, all that the vocabulary's ``\\s`` matches.
 SPACES = "\t\n\x0b\x0c\r\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 _OPEN = float("inf")
+# Code points (or first-last) that newer Unicode tables call letters or numbers and the vocabulary's library, of Unicode 16, doesn't.
+UNKNOWN = """558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE
+11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 16FF4-16FF6 187F8-187FF 18CD6-18CDA
+18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2
+1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F""".split()
+# Lower case of code points (or first-last) that Python's tables don't know yet.
+LOWER = dict(x.split(":") for x in "1C89:1C8A A7CB:264 A7CC:A7CD A7CE:A7CF A7D2:A7D3 A7D4:A7D5 A7DA:A7DB A7DC:19B 10D50-10D65:10D70 16EA0-16EB8:16EBB".split())
+
+
+def _span(x: str) -> range:
+    first, _, last = x.partition("-")
+    return range(int(first, 16), int(last or first, 16) + 1)
+
+
+_UNKNOWN = "[" + "".join(f"\\U{_span(x)[0]:08X}-\\U{_span(x)[-1]:08X}" for x in UNKNOWN) + "]"
+_LOWER = {c: chr(int(to, 16) + c - _span(x)[0]) for x, to in LOWER.items() for c in _span(x)}
+_has_unknown = regex.compile(_UNKNOWN).search
+_has_lower = regex.compile("[" + "".join(map(chr, _LOWER)) + "]").search
 
 
 def byte_symbols() -> list[str]:
@@ -58,7 +76,11 @@ class Codec:
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special = special
         self._special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self._words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        words = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self._words = regex.compile(words).findall
+        for kind in (r"\p{L}", r"\p{N}"):
+            words = words.replace(kind, f"[{kind}--{_UNKNOWN}]")
+        self._words_with_unknown = regex.compile(words, regex.V1).findall
 
         # A word is a string with one character for each byte, the last of them moved up by 256.
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
@@ -159,12 +181,16 @@ class Codec:
                 text = text.replace(c, " ")
         if "Σ" in text:  # letter by letter, without the rule for a final sigma
             text = text.replace("Σ", "σ")
-        return text.lower().split(" ")
+        text = text.lower()
+        if not text.isascii() and _has_lower(text):
+            text = text.translate(_LOWER)
+        return text.split(" ")
 
     def _packed(self, chunk: str) -> bytes:
         ids: list[int] = []
         keep = len(chunk) <= CACHE_CHARS
-        for word in self._words(chunk):
+        find = self._words if chunk.isascii() or not _has_unknown(chunk) else self._words_with_unknown
+        for word in find(chunk):
             got = self._word_ids.get(word)
             if got is None:
                 got = self.encode_word(word)

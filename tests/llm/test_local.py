@@ -39,6 +39,12 @@ def test_bpe_as_the_library(library, text):
     same(library, text)
 
 
+def test_bpe_knows_the_letters_that_the_library_knows(library):
+    """All code points, beside a letter, a digit and a sign, so that a wrong class would join or cut words."""
+    for first in range(0, 0x110000, 0x400):
+        same(library, " ".join(f"a{chr(c)}1{chr(c)}:{chr(c)}" for c in range(first, first + 0x400) if not 0xD800 <= c < 0xE000))
+
+
 @settings(max_examples=200, deadline=None)
 @given(text=st.text(alphabet=st.one_of(st.sampled_from("abcdefthe '.1é\nß"), st.characters(codec="utf-8", max_codepoint=0x2FFF)), max_size=60))
 def test_bpe_as_the_library_on_any_text(library, text):

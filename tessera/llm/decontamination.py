@@ -7,11 +7,15 @@ on the hit's diagonal: a document is contaminated by an item if ``WINDOW`` conse
 shorter item) agree in at least 80 % of their places. The three masks together find every
 window of 20 tokens with up to 4 substitutions.
 
-DataFrame functions only. The benchmark is dealt into blocks of at most about ``BLOCK_TOKENS``
-tokens, each broadcast in a pass of its own over the documents, so what is broadcast is
-bounded for a benchmark of any size, no document token is shuffled, and a passage that a third of
-all documents share costs no more than its hits. Items longer than ``SEGMENT`` tokens are cut
-into overlapping segments.
+What a hit is decided by are the tokens within a window's reach of it on either side, its context. Hits are therefore
+reduced to the distinct contexts of a document and those of an item before the two are joined: a text that repeats
+itself has few, however often its seeds meet, and other texts have one for each hit.
+
+DataFrame functions only. Documents are read and hashed once. Seeds of a benchmark of up to ``BLOCK_TOKENS``
+tokens are broadcast, so no document token is shuffled, and a passage that a third of all
+documents share costs no more than its hits; those of a larger one meet the documents' seeds in a shuffled join, whose
+hot keys adaptive execution splits, and only documents with hits are read again. The result is the same. Texts and items
+longer than ``SEGMENT`` tokens are cut into segments that overlap by a window.
 
 Tokens are runs of letters and digits, lower-cased.
 
@@ -32,6 +36,8 @@ from tessera.runtime import materialize, table
 
 MASKS = ("11101011", "1101111", "1011001101")
 WINDOW, SEGMENT, BLOCK_TOKENS = 20, 4096, 500_000
+#: Contexts of the benchmark (about 450 bytes each) up to this many are broadcast; more are joined by shuffle.
+BROADCAST_CONTEXTS = 100_000
 #: Tenths of a window's tokens that must agree.
 TENTHS = 8
 _TOKEN = r"[\p{L}\p{N}]+"
@@ -55,59 +61,82 @@ def _need(n: Column) -> Column:
     return F.ceil(F.least(F.lit(WINDOW), n) * TENTHS / F.lit(10)).cast("int")
 
 
+def _starts() -> Column:
+    """Where the overlapping segments of column tokens begin, from 1."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tokens") - (WINDOW - 1)), F.lit(SEGMENT - WINDOW + 1))
+
+
+def _segment() -> Column:
+    return F.slice("tokens", F.col("at"), F.lit(SEGMENT))
+
+
+def _key() -> Column:
+    """With doc_id, what tells rows apart."""
+    return F.xxhash64(F.lit(1), "text", F.lit(2))
+
+
 def _segments(benchmark: DataFrame) -> DataFrame:
-    """item_id, part, tokens, need: items in overlapping segments."""
+    """item_id, tokens, need: items in overlapping segments."""
     items = benchmark.select("item_id", _tokens().alias("tokens")).where(F.size("tokens") >= min(map(len, MASKS)))
-    items = items.select("item_id", "tokens", _need(F.size("tokens")).alias("need"))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("tokens") - (WINDOW - 1)), F.lit(SEGMENT - WINDOW + 1))
-    cut = items.select("item_id", "tokens", "need", F.explode(starts).alias("at"))
-    return cut.select("item_id", "need", F.slice("tokens", F.col("at"), F.lit(SEGMENT)).alias("tokens")).withColumn("part", F.xxhash64("item_id", "tokens"))
+    cut = items.select("item_id", "tokens", _need(F.size("tokens")).alias("need"), F.explode(_starts()).alias("at"))
+    return cut.select("item_id", "need", _segment().alias("tokens"))
+
+
+def _context(tokens: Column, at: Column, span: Column, outside: int) -> Column:
+    """The tokens that windows through ``span`` places from ``at`` can cover; places outside of the text hold ``outside``."""
+    places = F.sequence(at - (WINDOW - 1), at + span + (WINDOW - 2))
+    return F.transform(places, lambda i: F.when(i >= 0, F.coalesce(F.get(tokens, i), F.lit(outside))).otherwise(F.lit(outside)).cast("long"))
 
 
-def _best_run(t: Column, shift: Column, lo: Column, hi: Column, item: Column, window: Column) -> Column:
-    """The most agreeing tokens in any ``window`` places from ``lo`` to ``hi`` of the item."""
-    same = lambda i: F.coalesce((F.get(t, i + shift) == F.get(item, i)).cast("int"), F.lit(0))
-    same_in = lambda i: F.when((i >= lo) & (i + shift >= 0), same(i)).otherwise(0)
+def _best_run(a: Column, b: Column) -> Column:
+    """The most places in which any ``WINDOW`` consecutive ones of two contexts agree."""
+    same = lambda i: F.when(i >= 0, (F.get(a, i) == F.get(b, i)).cast("int")).otherwise(0)
     start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(acc: Column, i: Column) -> Column:
-        run = acc["run"] + same_in(i) - same_in(i - window)
+        run = acc["run"] + same(i) - same(i - WINDOW)
         return F.struct(run.alias("run"), F.greatest(acc["best"], run).alias("best"))
 
-    return F.aggregate(F.sequence(lo, hi), start, step, lambda acc: acc["best"])
+    return F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), start, step, lambda acc: acc["best"])
+
+
+def _item_seeds(segments: DataFrame) -> DataFrame:
+    """item_id, need, seed, span, item_context: distinct contexts of every seed of the benchmark."""
+    parts = []
+    for m in MASKS:
+        at = F.explode(F.sequence(F.lit(0), F.size("tokens") - len(m)))
+        rows = segments.where(F.size("tokens") >= len(m)).select("item_id", "need", "tokens", at.alias("q"))
+        parts.append(rows.select("item_id", "need", _seed(F.col("tokens"), F.col("q"), m).alias("seed"), F.lit(len(m)).alias("span"), _context(F.col("tokens"), F.col("q"), F.lit(len(m)), 1).alias("item_context")))
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, key (a hash of id and text), item_id, n_matched: every document and item that match."""
-    segments = materialize(_segments(benchmark.select("item_id", "text")).dropDuplicates(["item_id", "part"]), "benchmark-segments")
-    total = segments.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-total // block_tokens))
-    rows = docs.select("doc_id", F.xxhash64(F.lit(1), "doc_id", F.lit(2), "text").alias("key"), _tokens().alias("t"))
-    seeds = rows.select("doc_id", "key", "t", F.concat(*map(_seeds_of_all, MASKS)).alias("seeds"))
-    # The outer form, as Spark would put a filter on the inner one's size below, where it computes the seeds again for each token.
-    seeds = seeds.select("doc_id", "key", "t", F.posexplode_outer("seeds").alias("n", "seed"))
-
-    def one_block(block: int) -> DataFrame:
-        mine = segments.where(F.pmod(F.xxhash64("part"), F.lit(n_blocks)) == block)
-        own = [
-            mine.where(F.size("tokens") >= len(m)).select("item_id", "part", "tokens", F.explode(F.sequence(F.lit(0), F.size("tokens") - len(m))).alias("q")).select("item_id", "part", "q", _seed(F.col("tokens"), F.col("q"), m).alias("seed"), F.lit(len(m)).alias("span"))
-            for m in MASKS
-        ]
-        hits = seeds.join(F.broadcast(reduce(DataFrame.union, own)), "seed")
-        hits = hits.join(F.broadcast(mine.select(F.col("item_id").alias("_item"), F.col("part").alias("_part"), "tokens", "need")), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("part") == F.col("_part")))
-        size = F.size("tokens")
-        lo, hi = F.greatest(F.lit(0), F.col("q") - (WINDOW - 1)), F.least(size - 1, F.col("q") + F.col("span") + (WINDOW - 2))
-        shift = F.col("n") % F.size("t") - F.col("q")
-        best = _best_run(F.col("t"), shift, lo, hi, F.col("tokens"), F.lit(WINDOW))
-        return hits.select("doc_id", "key", "item_id", "need", best.alias("best")).where("best >= need").groupBy("doc_id", "key", "item_id").agg(F.max("best").cast("long").alias("n_matched"))
-
-    return reduce(DataFrame.unionByName, map(one_block, range(n_blocks)))
+    segments = materialize(_segments(benchmark.select("item_id", "text")).distinct(), "benchmark-segments")
+    small = segments.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0] <= block_tokens
+    items = materialize(_item_seeds(segments), "benchmark-seeds")
+    known = items.count()
+    wanted = items.select("seed", "span").distinct()
+    whole = docs.select("doc_id", _key().alias("key"), _tokens().alias("tokens"))
+    rows = whole.select("doc_id", "key", "tokens", F.explode_outer(_starts()).alias("at")).select("doc_id", "key", "at", _segment().alias("t"))
+    seeds = rows.select("doc_id", "key", "at", "t", F.concat(*map(_seeds_of_all, MASKS)).alias("seeds"))
+    # The outer forms, as Spark would put a filter on the inner ones' sizes below, where it makes tokens and seeds again.
+    seeds = seeds.select("doc_id", "key", "at", "t", F.posexplode_outer("seeds").alias("n", "seed"))
+    if small:
+        hits = seeds.join(F.broadcast(wanted), "seed")
+    else:
+        met = seeds.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("at").alias("_at"), "n", "seed").join(wanted, "seed").distinct()
+        hits = rows.join(met, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("at") == F.col("_at")))
+    own = hits.select("doc_id", "key", "seed", "span", _context(F.col("t"), (F.col("n") % F.size("t")).cast("int"), F.col("span"), 0).alias("context")).distinct()
+    pairs = own.join(F.broadcast(items) if known <= BROADCAST_CONTEXTS else items, ["seed", "span"])
+    best = pairs.select("doc_id", "key", "item_id", "need", _best_run(F.col("context"), F.col("item_context")).alias("best")).where("best >= need")
+    return best.groupBy("doc_id", "key", "item_id").agg(F.max("best").cast("long").alias("n_matched"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that match any item."""
-    found = find_contamination(docs, benchmark).select(F.col("key").alias("_dc_key")).distinct()
-    return docs.join(found, F.xxhash64(F.lit(1), docs["doc_id"], F.lit(2), docs["text"]) == found["_dc_key"], "left_anti")
+    found = find_contamination(docs, benchmark).select(F.col("doc_id").alias("_dc_id"), F.col("key").alias("_dc_key")).distinct()
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_dc_id"]) & (_key() == found["_dc_key"]), "left_anti")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -310,6 +310,22 @@ def test_decontamination(spark, block):
         assert decontamination.find_contamination(documents(spark, docs), benchmark.where("false")).count() == 0
 
 
+def test_decontamination_of_repeated_tokens_and_rows(spark):
+    """Texts that repeat one token or a short period meet in as many places as they are long, and in few contexts."""
+    rng = random.Random(14)
+    period = words(rng, 3)
+    items = [(1, "la " * 20_000), (2, " ".join(period * 40)), (3, "la la la la la la la"), (4, " ".join(words(rng, 9_000)))]
+    long = items[3][1].split()
+    docs = [(1, "la " * 20_000), (2, " ".join(words(rng, 30) + period * 300 + words(rng, 5_000))), (3, "la la la"), (4, " ".join(words(rng, 4_090) + long[4_085:4_110] + words(rng, 4_090)))]
+    docs += [(5, "x " + "la " * 16 + "y z"), docs[1], (2, docs[2][1]), (None, docs[0][1])]
+    benchmark = spark.createDataFrame([*items, items[1]], "item_id long, text string")
+    for block in (decontamination.BLOCK_TOKENS, 60):
+        got = Counter((r.doc_id, r.item_id, r.n_matched) for r in decontamination.find_contamination(documents(spark, docs), benchmark, block).collect())
+        assert got == Counter([(1, 1, 20), (1, 3, 7), (2, 2, 20), (4, 4, 20), (5, 1, 16), (5, 3, 7), (None, 1, 20), (None, 3, 7)])
+    left = decontamination.remove_contaminated(documents(spark, docs), benchmark)
+    assert sorted((r.doc_id, len(r.text)) for r in left.collect()) == [(2, 8), (3, 8)]
+
+
 # 7
 
 

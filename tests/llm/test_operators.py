@@ -145,7 +145,7 @@ def test_embedding_dedup(spark):
 
 
 def test_embedding_dedup_in_a_dense_label(spark):
-    """Pairs at 0.982 among vectors that are all at 0.9 to each other, in many blocks: each link is found."""
+    """Pairs at 0.982 among vectors that are all at 0.9 to each other: what passes lose, the measure shows, and each link is found."""
     rng = np.random.default_rng(11)
     x = rng.standard_normal((3000, 64))
     x[:, 0] = 0
@@ -163,6 +163,32 @@ def test_embedding_dedup_in_a_dense_label(spark):
     assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (linked[i].sum(), c, c == i) for i, c in want.items()}
 
 
+def test_embedding_dedup_of_repeated_vectors_and_ids(spark):
+    """Equal vectors count as links of each other; an id with several vectors is the least of them; a large group of near copies."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal(16)
+    rows = [(i, base.tolist(), 7) for i in range(0, 50)] + [(100 + i, (base + 1e-3 * rng.standard_normal(16)).tolist(), 7) for i in range(150)]
+    rows += [(900, (-base).tolist(), 7), (900, base.tolist(), 7), (901, (2 * base).tolist(), 7), (902, base.tolist(), 8), (903, base.tolist(), 8)]
+    rows = [(i, v, x) for i, v, x in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, embedding_dedup.near_duplicate_vectors(df).collect()))
+    least = min((-base).tolist(), base.tolist())
+    n = 200 + 1 + (least == base.tolist())
+    own = (900, n - 1, 0, False) if least == base.tolist() else (900, 0, 900, True)
+    want = [(i, n - 1, 0, i == 0) for i, _, x in rows[:200]] + [own, own, (901, n - 1, 0, False), (902, 1, 902, True), (903, 1, 902, False)]
+    assert got == sorted(want)
+
+
+def test_passes_find_what_the_sample_does_not_ask_for(spark):
+    """With a sample of almost nothing, links come by the passes alone."""
+    rng = np.random.default_rng(13)
+    x = rng.standard_normal((1500, 32))
+    x[1::2] = x[::2] + 0.05 * rng.standard_normal((750, 32))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicate_vectors(df, sample=1).collect()}
+    assert np.mean([got[i] == i - i % 2 for i in range(1500)]) > 0.999
+
+
 # 3
 
 

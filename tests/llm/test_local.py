@@ -200,13 +200,53 @@ def test_packing_is_near_equal_and_keeps_a_giant_alone():
 
 
 def test_grammar_weighs_clauses():
-    g = toxicity.Grammar([("w", "fool", 5.0), ("p", "idi", 4.0)])
+    g = toxicity.Grammar([("w", "fool", 5.0), ("p", "idi", 4.0), ("w", "idiot", 5.0)])
     plain, target = g.evidence("that is a fool.")[0], g.evidence("you are a fool.")[0]
     assert target > plain > g.evidence("he said that is a fool")[0] > g.evidence("that is not a fool")[0] > 0
     assert g.evidence("idiotic")[0] == 4.0 and g.evidence("foolish")[0] == 0.0 and g.evidence("a videofool")[0] == 0.0
     assert g.evidence("I will kill it")[0] > 0 == g.evidence("kill time")[0]
     assert g.evidence("") == g.evidence(None) == (0.0, 0.0, 0)
     assert g.evidence("fool. fool! x\nfool")[2] == 3
+    assert g.evidence("a fool, you")[0] == g.evidence("you fool")[0] == 7.5 and g.evidence("a fool " + "w " * 300 + "you")[0] == 5.0
+    assert g.evidence("'idiot'")[0] == g.evidence("_idiot_")[0] == g.evidence("l'idiot")[0] == 5.0
+
+
+def test_grammar_reads_four_languages():
+    g = toxicity.Grammar([("w", "idiot", 5.0)])
+    for text in ("ich werde dich toeten", "je vais te tuer", "voy a matar a ese, usted", "I will kill you"):
+        assert g.evidence(text)[0] == 1.5 * toxicity.THREAT, text
+    assert g.evidence("le chef du village est un idiot")[0] == g.evidence("le chef de village est un idiot")[0] == 5.0
+    assert g.evidence("du bist ein idiot und das ist so")[0] == 7.5 and g.evidence("tu es un idiot et un chef")[0] == 7.5
+    assert g.evidence("ich werde dich nicht toeten")[0] == pytest.approx(1.5 * toxicity.THREAT * toxicity.NEGATED)
+
+
+def paths(t, state, symbols):
+    """All (symbols written, factors) of a transducer's accepted paths."""
+    if not symbols:
+        return [((), ())] if state in t.final else []
+    return [((out, *o), (f, *fs)) for out, f, to in t.arcs[state, symbols[0]] for o, fs in paths(t, to, symbols[1:])]
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.sampled_from(["you", "not", "said", "will", "kill", "fool", "x", "moron", "going"]), max_size=9))
+def test_composed_machine_against_all_paths(tokens):
+    """The best path's score is the most of all paths of the five transducers run one after the other."""
+    weights = {"fool": 5.0, "moron": 3.5}
+    role = toxicity.roles("en")
+    chains = [(tuple(role.get(t, "") + "i" * (t in weights) for t in tokens), (1.0,) * len(tokens))]
+    for t in toxicity.stages("en"):
+        chains = [(out, tuple(a * b for a, b in zip(f, g, strict=True))) for x, f in chains for out, g in paths(t, t.start, x)]
+    score = lambda out, f: sum(k * (("I" in o) * weights.get(t, 0) + ("T" in o) * toxicity.THREAT) for t, o, k in zip(tokens, out, f, strict=True))
+    want = max(score(o, f) for o, f in chains)
+    # A common English word, which has no role, keeps the other languages' machines out.
+    assert toxicity.clause_score([*tokens, *["w"] * 7, "the", "of", "and"], lambda t: weights.get(t, 0.0)) == pytest.approx(want)
+    plain = 0.0
+    for i, t in enumerate(tokens):
+        mark = weights.get(t, 0) + (t == "kill" and any(x in ("will", "going") for x in tokens[max(0, i - 3) : i])) * toxicity.THREAT
+        near = "you" in tokens[max(0, i - 6) : i + 7]
+        mark *= (1.5 if near else 1.0) * (0.1 if "not" in tokens[max(0, i - 3) : i] else 1) * (0.4 if "said" in tokens[max(0, i - 6) : i] else 1)
+        plain += mark
+    assert plain == pytest.approx(want)
 
 
 def test_grams_of_segments(monkeypatch):

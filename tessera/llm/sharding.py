@@ -1,10 +1,10 @@
 """Sharding: best-fit-decreasing packing of indivisible groups of equal texts.
 
-Packing itself is sequential, so it must see a bounded number of items. A group whose size
-is at least 1/``GRAIN`` of a shard is an item of its own: there can be no more than
-``n_shards * GRAIN`` of those, however large the table. All smaller groups are dealt by the
-hash of their text into ``n_shards * PARCELS`` parcels, and each parcel is an item. Neither
-ever splits a group. Only these items' sizes reach the driver.
+Packing is sequential, but groups of equal size are alike: after one of them is put into the tightest bin, that bin is still
+the tightest for the next, as long as it fits. So all groups of a size are one item with a count, placed in runs, which gives
+just what packing them one by one gives. There can be no more than sqrt(2 * bytes) different sizes, and only
+the number of groups of each reaches the driver. Back in Spark, a group finds its shard by its size and its
+rank among the groups of that size, which is counted in blocks. No group is ever split.
 
 A group larger than the mean shard can't be packed near-equally; it gets a shard of its own
 and the rest is balanced over the remaining shards.
@@ -17,18 +17,17 @@ than ``doc_id`` and ``text`` are ignored.
 from __future__ import annotations
 
 import random
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.runtime import materialize, table
 
 #: Bytes that each document takes beside its text.
 OVERHEAD = 16
-#: Groups of at least 1/GRAIN of a shard are packed one by one.
-GRAIN = 256
-#: Parcels of smaller groups for each shard.
-PARCELS = 128
+#: Sizes up to this many (about 60 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_SIZES = 500_000
 #: Rows that one slot-numbering task takes, about.
 SLOT_BLOCK = 2048
 
@@ -81,42 +80,71 @@ class CapacityTree:
         return node[0]
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, max_bins: int | None = None) -> list[int] | None:
-    """Bin of each of ``sizes`` (sorted, largest first); None if more than ``max_bins`` are needed."""
+#: For each size, how many of its items go to which bin, in order.
+Runs = list[list[tuple[int, int]]]
+
+
+def best_fit_decreasing(items: list[tuple[int, int]], capacity: int, max_bins: int | None = None) -> Runs | None:
+    """Runs of (bin, items) for each (size, count) of ``items``, largest first; None if more than ``max_bins`` are needed."""
     tree, n, out = CapacityTree(), 0, []
-    for size in sizes:
-        found = tree.take_tightest(size)
-        if found is None:
-            if n == max_bins or size > capacity:
-                return None
-            found, n = (capacity, n), n + 1
-        remaining, b = found
-        tree.insert(remaining - size, b)
-        out.append(b)
+    for size, count in items:
+        runs = []
+        while count:
+            found = tree.take_tightest(size)
+            if found is None:
+                if n == max_bins or size > capacity:
+                    return None
+                found, n = (capacity, n), n + 1
+            remaining, b = found
+            k = min(count, remaining // size)
+            tree.insert(remaining - k * size, b)
+            runs.append((b, k))
+            count -= k
+        out.append(runs)
     return out
 
 
-def pack_into(sizes: list[int], n_bins: int) -> list[int]:
-    """Best-fit-decreasing into exactly ``n_bins`` bins at the least capacity that a search finds."""
-    out, first, left = [], 0, sum(sizes)
-    while first < len(sizes) and n_bins - first > 1 and sizes[first] * (n_bins - first) >= left:
-        out.append(first)  # as large as a mean shard of what is left: alone in its shard
-        left -= sizes[first]
-        first += 1
-    rest, bins = sizes[first:], n_bins - first
+def pack_into(items: list[tuple[int, int]], n_bins: int) -> Runs:
+    """Best-fit-decreasing of (size, count), largest first, into ``n_bins`` bins at the least capacity that a search finds."""
+    left, bins, rest = sum(s * c for s, c in items), n_bins, list(items)
+    alone: Runs = []
+    while rest and bins > 1 and rest[0][0] * bins >= left:  # as large as a mean shard of what is left: alone in its shard
+        size, count = rest[0]
+        runs = []
+        while count and bins > 1 and size * bins >= left:
+            runs.append((n_bins - bins, 1))
+            left, bins, count = left - size, bins - 1, count - 1
+        alone.append(runs)
+        if count:
+            rest[0] = (size, count)
+            break
+        rest.pop(0)
     if not rest:
-        return out
-    low = max(rest[0], -(-left // bins))
-    high, best = max(low, 2 * low), None
-    if (tight := best_fit_decreasing(rest, low, bins)) is not None:
-        best, high = tight, low
+        return alone
+    low = max(rest[0][0], -(-left // bins))
+    step = max(1, low // 20_000)
+    best, high = best_fit_decreasing(rest, low, bins), low
+    while best is None:
+        low, high = high, high + step
+        step *= 2
+        best = best_fit_decreasing(rest, high, bins)
     while high - low > max(1, low // 20_000):
         mid = (low + high) // 2
         packed = best_fit_decreasing(rest, mid, bins)
         low, high, best = (mid, high, best) if packed is None else (low, mid, packed)
-    if best is None:
-        best = best_fit_decreasing(rest, left, bins)
-    return out + [first + b for b in best]
+    shifted = [[(n_bins - bins + b, k) for b, k in runs] for runs in best]
+    split = len(alone) + len(rest) > len(items)  # the first of the rest has items that are alone, too
+    return [*alone[:-1], alone[-1] + shifted[0], *shifted[1:]] if split else alone + shifted
+
+
+def _in_blocks(rows: DataFrame, group: str, block: Column, order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``name``, numbers from 0 without gaps within ``group``: counted by block, then within each."""
+    rows = rows.withColumn("block", block)
+    before = Window.partitionBy(group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(group, "block").count().select(group, "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy(group, "block").orderBy(*order)
+    numbered = rows.withColumn("i", F.row_number().over(within)).join(starts, [group, "block"])
+    return numbered.withColumn(name, (F.col("start") + F.col("i") - 1).cast("long")).drop("i", "start", "block")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
@@ -133,32 +161,20 @@ def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
         ),
         "shard-rows",
     )
-    n_rows, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    least = max(1, total // (n_shards * GRAIN))
-    n_parcels = n_shards * PARCELS
+    n_rows = rows.count()
     groups = materialize(rows.groupBy("h1", "h2").agg(F.sum("size").alias("bytes")), "shard-groups")
-    large = groups.where(F.col("bytes") >= least).collect()  # n_shards * GRAIN of them at most
-    small = groups.where(F.col("bytes") < least).groupBy(F.pmod("h1", F.lit(n_parcels)).alias("parcel")).agg(F.sum("bytes").alias("bytes")).collect()
-    items = sorted([(-r.bytes, 0, r.h1, r.h2) for r in large] + [(-r.bytes, 1, r.parcel, 0) for r in small])
-    where = pack_into([-x[0] for x in items], n_shards)
-    of_large = spark.createDataFrame([(a, b, s) for (_, kind, a, b), s in zip(items, where, strict=True) if kind == 0], "h1 long, h2 long, s1 int")
-    of_parcel = spark.createDataFrame([(a, s) for (_, kind, a, _b), s in zip(items, where, strict=True) if kind == 1], "parcel long, s2 int")
-    placed = (
-        rows.join(F.broadcast(of_large), ["h1", "h2"], "left")
-        .withColumn("parcel", F.pmod("h1", F.lit(n_parcels)))
-        .join(F.broadcast(of_parcel), "parcel", "left")
-        .withColumn("shard", F.coalesce("s1", "s2"))
-    )
+    # sqrt(2 * total) rows at most.
+    items = sorted(((r.bytes, r["count"]) for r in groups.groupBy("bytes").count().collect()), reverse=True)
+    placed = [(size, count, [b for b, _ in runs], list(accumulate(k for _, k in runs))) for (size, count), runs in zip(items, pack_into(items, n_shards), strict=True)]
+    sizes = spark.createDataFrame(placed, "bytes long, alike long, bins array<int>, ends array<long>")
+    sized = groups.join(F.broadcast(sizes) if len(placed) <= BROADCAST_SIZES else sizes, "bytes")
+    whole = sized.where(F.size("bins") == 1).select("h1", "h2", F.get("bins", F.lit(0)).alias("shard"))
+    dealt = _in_blocks(sized.where(F.size("bins") > 1), "bytes", F.pmod("h1", F.ceil(F.col("alike") / SLOT_BLOCK)), ["h1", "h2"], "rank")
+    dealt = dealt.select("h1", "h2", F.get("bins", F.size(F.filter("ends", lambda e: e <= F.col("rank")))).alias("shard"))
+    out = rows.join(whole.unionByName(dealt), ["h1", "h2"])
     n_blocks = max(1, -(-n_rows // (n_shards * SLOT_BLOCK)))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id", "h2"), F.lit(n_blocks)))
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("shard", "block").count().select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "block").orderBy("doc_id", "h1")
-    return (
-        placed.withColumn("i", F.row_number().over(within))
-        .join(starts, ["shard", "block"])
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("start") + F.col("i") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    )
+    out = _in_blocks(out, "shard", F.pmod(F.xxhash64("doc_id", "h2"), F.lit(n_blocks)), ["doc_id", "h1", "h2"], "slot")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

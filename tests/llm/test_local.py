@@ -4,6 +4,7 @@ import math
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -173,30 +174,50 @@ def test_long_dividers_and_paths_are_quick(text):
     assert time.perf_counter() - begun < 0.2
 
 
+def plain_best_fit(sizes, capacity):
+    """Bin of each of ``sizes``, one by one, by looking at all bins."""
+    bins, out = [], []
+    for s in sizes:
+        fit = [(r, i) for i, r in enumerate(bins) if r >= s]
+        i = min(fit)[1] if fit else len(bins)
+        if not fit:
+            bins.append(capacity)
+        bins[i] -= s
+        out.append(i)
+    return out
+
+
+def counted(sizes):
+    return sorted(Counter(sizes).items(), reverse=True)
+
+
+def spread(runs):
+    return [b for own in runs for b, k in own for _ in range(k)]
+
+
 def test_best_fit_decreasing_against_a_plain_search():
     rng = random.Random(2)
-    for _ in range(50):
-        sizes = sorted((rng.randint(1, 40) for _ in range(60)), reverse=True)
-        bins, want = [], []
-        for s in sizes:
-            fit = [(r, i) for i, r in enumerate(bins) if r >= s]
-            i = min(fit)[1] if fit else len(bins)
-            if not fit:
-                bins.append(50)
-            bins[i] -= s
-            want.append(i)
-        assert sharding.best_fit_decreasing(sizes, 50) == want
+    for _ in range(80):
+        sizes = sorted((rng.randint(1, rng.choice([4, 40])) for _ in range(60)), reverse=True)
+        assert spread(sharding.best_fit_decreasing(counted(sizes), 50)) == plain_best_fit(sizes, 50)
 
 
 def test_packing_is_near_equal_and_keeps_a_giant_alone():
     rng = random.Random(3)
     sizes = sorted((rng.randint(1, 1000) for _ in range(2000)), reverse=True)
-    load = np.bincount(sharding.pack_into(sizes, 40), weights=sizes, minlength=40)
+    load = np.bincount(spread(sharding.pack_into(counted(sizes), 40)), weights=sizes, minlength=40)
     assert len(load) == 40 and load.max() / load.mean() < 1.01
-    where = sharding.pack_into([10**6, *sizes], 40)
-    load = np.bincount(where[1:], weights=sizes, minlength=40)
-    assert where[0] not in where[1:] and load[load > 0].max() / load[load > 0].mean() < 1.01
+    for giants in ([10**6], [10**6, 10**6], [10**6 + 1, 10**6]):
+        where = spread(sharding.pack_into(counted([*giants, *sizes]), 40))
+        load = np.bincount(where[len(giants) :], weights=sizes, minlength=40)
+        assert len(set(where[: len(giants)])) == len(giants) and not set(where[: len(giants)]) & set(where[len(giants) :]) and load[load > 0].max() / load[load > 0].mean() < 1.01
     assert sharding.pack_into([], 40) == []
+    assert spread(sharding.pack_into([(5, 50)], 40)) == plain_best_fit([5] * 50, 10)
+    assert sorted(spread(sharding.pack_into([(7, 3), (1, 1)], 4))) == [0, 1, 2, 3]
+    for _ in range(100):
+        some = sorted((rng.choice([1, 2, 3, 50, 400]) for _ in range(rng.randrange(1, 30))), reverse=True)
+        where = spread(sharding.pack_into(counted(some), 5))
+        assert len(where) == len(some) and set(where) <= set(range(5))
 
 
 def test_grammar_weighs_clauses():

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontamination, embedding_dedup, line_dedup, minhash, quality, secrets, sharding, toxicity, url_filter
 from tessera.llm.components import connected_components
+from tests.llm.test_local import plain_best_fit
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -468,6 +469,13 @@ def test_sharding(spark):
         load[r.shard] += r.size
         slots[r.shard].append(r.slot)
     assert all(len(s) == 1 for s in groups.values()) and set(load) == set(range(8))
+    by_text = Counter()
+    for _, t in rows:
+        by_text[t or ""] += len((t or "").encode()) + 16
+    sizes = sorted(by_text.values(), reverse=True)
+    shard_of = {r.text_crc32: r.shard for r in got}
+    placed = Counter((n, shard_of[crc32(t.encode())]) for t, n in by_text.items())
+    assert placed in [Counter(zip(sizes, plain_best_fit(sizes, c), strict=True)) for c in range(max(load.values()), max(load.values()) + 200)]
     assert max(load.values()) / (sum(load.values()) / 8) < 1.02
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.shard_documents(documents(spark, rows).where("false")).count() == 0

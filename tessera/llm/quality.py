@@ -1,97 +1,108 @@
-"""Quality classifier: an interpolated modified Kneser-Ney model of byte 5-grams for each language.
+"""Quality classifier: an interpolated modified Kneser-Ney model of word pairs for each language.
 
-Trained on the whole texts of trusted documents (quality 1). Map tasks count 5-grams, Spark sums them
-by gram, and the rest are joins and aggregations of sharded counts: lower orders count distinct
-continuations, contexts give totals and back-off weights, discounts come from counts of counts by
-language and order, and each order's probabilities join those of the order below.
+Trained on the whole texts of trusted documents (quality 1), as a start mark, words (runs without white space, A-Z
+lowered) and an end mark. Map tasks count pairs, Spark sums them, and the rest are joins and aggregations of
+sharded counts: words count the different words before them, contexts give totals and back-off weights, discounts
+come from counts of counts by language and order, and the pairs' probabilities join those of their second words.
 
-Every document's perplexity a byte is compared with a quantile of its language, taken over trusted
+The logarithm of a text's probability is a sum over its words and pairs. With p0 a language's probability of an unknown word,
+p1(w) of a word, b(w) the back-off weight of a word as context, and p2(v, w) of a pair, every word adds
+log p1(w) / p0 + log b(w) and every pair log p2(v, w) / (b(v) p1(w)), each nothing where the model doesn't have it, and every place
+adds log p0. So the model is one table of keys and values, and one join of the documents' words and pairs with
+it, shard by shard, gives each document's perplexity. Rows neither need an order of back-off nor ever meet on the driver.
+
+Words and pairs that make up at least ``HEAVY`` of the training text, of which there can be no more than 2 / ``HEAVY``, are
+looked up where documents are read, and are the only part of the model that is broadcast; they are most of a text, and its hot keys.
+The documents are scored in ``WAVES`` of whole documents, one after the other, which bounds the disk that the join takes.
+
+Every document's perplexity a word is compared with a quantile of its language, taken over trusted
 documents that the model wasn't trained on. Ids' crc32 modulo 5 deals labelled documents: 0 is
 held out, 1 calibrates, the rest train.
 
-Bytes rather than words, since the number of distinct 5-grams of bytes stays small, whatever the
-corpus: a model of up to ``BROADCAST_ROWS`` rows is broadcast to score texts in place; a larger one
-is joined with the documents' gram counts, shard by shard, with the same result.
-
-Edge cases: null and empty texts have no perplexity and are kept; so are documents of a language without
+Edge cases: null, empty and blank texts have no perplexity and are kept; so are documents of a language without
 trusted text or calibration; a null language is one of its own; texts are read whole; rows with null ids are
 scored and never trained on; repeated rows are scored each; an empty table gives an
-empty result; other columns are ignored or pass through.
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.runtime import materialize, ship, table
+from tessera.llm.shingles import mix, text_words
+from tessera.runtime import materialize, release, ship, table
 
-ORDER = 5
 QUANTILE = 0.99
-BROADCAST_ROWS = 8_000_000
-#: Ids of trusted documents up to this many (8 bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 4_000_000
-#: Bytes of text taken at once.
-SEGMENT = 1 << 20
-NO_LANG = ""
-
+#: Share of the training text that a word or pair must have to be looked up where documents are read.
+HEAVY = 1e-5
+WAVES = 6
+#: Ids of trusted documents up to this many (8 bytes each), and languages, are broadcast; more are joined by shuffle.
+BROADCAST_IDS, BROADCAST_LANGS = 4_000_000, 100_000
+#: Rows of words and pairs passed on at once.
+PIECE = 1 << 20
+_START, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+_LEFT, _RIGHT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-def grams(raw: np.ndarray) -> np.ndarray:
-    """The 5-gram that ends at each byte, packed into 40 bits; zero bytes stand before the text."""
-    padded = np.zeros(len(raw) + ORDER - 1, dtype=np.int64)
-    padded[ORDER - 1 :] = raw
-    out = np.zeros(len(raw), dtype=np.int64)
-    for i in range(ORDER):
-        out = (out << 8) | padded[i : i + len(raw)]
-    return out
 
+def sequence(text: pa.Scalar, lang: int) -> np.ndarray:
+    """Keys of a text's start, words and end in a language (a hash); empty without words."""
+    raw = np.frombuffer(text.as_buffer() or b"", dtype=np.uint8) if text.is_valid else np.zeros(0, np.uint8)
+    words = text_words(raw)
+    if not len(words):
+        return words
+    return mix(np.concatenate([[_START], words, [_END]]) ^ np.uint64(lang % 2**64))
 
-def text_grams(text: bytes) -> Iterator[np.ndarray]:
-    """The 5-grams of a whole text, a segment at a time."""
-    raw = np.frombuffer(text, dtype=np.uint8)
-    for at in range(0, len(raw), SEGMENT):
-        begin = max(0, at - ORDER + 1)
-        yield grams(raw[begin : at + SEGMENT])[at - begin :]
 
-
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-    return keys, np.bincount(at, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
+def pair_keys(keys: np.ndarray) -> np.ndarray:
+    return mix(keys[:-1] * _LEFT + keys[1:] * _RIGHT)
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list] = {}
-    size = 0
-
-    def flush():
-        for lang, parts in held.items():
-            keys, n = _merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
-        held.clear()
-
+    """Pairs of each batch and language, counted."""
     for b in batches:
-        loose: dict[str, list] = {}
-        for lang, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            for g in text_grams(t.as_py().encode("utf-8", "surrogatepass")):
-                loose.setdefault(lang, []).append(g)
-                size += len(g)
-        for lang, gs in loose.items():
-            held.setdefault(lang, []).append(np.unique(np.concatenate(gs), return_counts=True))
-            if len(held[lang]) >= 8:
-                held[lang] = [_merged(held[lang])]
-        if sum(len(k) for parts in held.values() for k, _ in parts) > 4_000_000:
-            yield from flush()
-    yield from flush()
-
-
-def train(texts: DataFrame) -> DataFrame:
-    """lang, kind, gram, value: log probabilities (kind is the order) and log back-off weights (kind is 8 and the context's length)."""
+        loose: dict[tuple, list[np.ndarray]] = {}
+        for lang, of, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            keys = sequence(text, of)
+            if len(keys):
+                loose.setdefault(lang, []).append(np.stack([keys[:-1], keys[1:]]))
+        for lang, parts in loose.items():
+            left, right = np.concatenate(parts, axis=1)
+            order = np.lexsort((right, left))
+            left, right = left[order], right[order]
+            first = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
+            n = np.diff(np.append(first, len(left)))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(left[first].view(np.int64)), pa.array(right[first].view(np.int64)), pa.array(n)], ["lang", "v", "w", "n"])
+
+
+def _by_lang(rows: DataFrame) -> DataFrame:
+    """A row for each language, to be joined with larger tables."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_LANGS else rows
+
+
+def _discounts(counts: DataFrame) -> DataFrame:
+    """lang, d1, d2, d3, types, mass, total: of a language's counts c, by counts of counts."""
+    of = lambda i: F.sum((F.col("c") == i).cast("double"))
+    n = counts.groupBy("lang").agg(*(of(i).alias(f"n{i}") for i in range(1, 5)), F.count("*").alias("types"), F.sum("c").alias("total"))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    discount = lambda i: F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.least(F.lit(float(i)), F.greatest(F.lit(0.05 * i), i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(f"n{i}", F.lit(0.0))))).otherwise(0.5 * i)
+    n = n.withColumns({f"d{i}": discount(i) for i in (1, 2, 3)})
+    rest = F.col("types") - F.col("n1") - F.col("n2")
+    mass = F.col("n1") * F.col("d1") + F.col("n2") * F.col("d2") + rest * F.col("d3")
+    return materialize(n.select("lang", "d1", "d2", "d3", "types", "total", mass.alias("mass")), "kn-discounts")
+
+
+def _cut() -> Column:
+    return F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+
+
+def train(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The model (key, value, c: occurrences) of ``texts`` (lang, of: the language's hash, text), and lang, p0 for each language."""
     ship(texts.sparkSession)
 
     def run(batches):
@@ -99,33 +110,38 @@ def train(texts: DataFrame) -> DataFrame:
 
         yield from _count_batches(batches)
 
-    counted = texts.where("text IS NOT NULL AND text <> ''").select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text")
-    counts = {ORDER: materialize(counted.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("c")), "kn-counts")}
-    for k in range(ORDER - 1, 0, -1):
-        counts[k] = counts[k + 1].groupBy("lang", F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.count("*").alias("c"))
-        counts[k] = materialize(counts[k], f"kn-continuations-{k}")
-
-    tables: list[DataFrame] = []
-    below = None
-    for k in range(1, ORDER + 1):
-        of = lambda i: F.sum((F.col("c") == i).cast("double"))
-        n = counts[k].groupBy("lang").agg(*(of(i).alias(f"n{i}") for i in range(1, 5)))
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        discount = lambda i: F.when((F.col(f"n{i}") > 0) & (F.col("n1") > 0), F.least(F.lit(float(i)), F.greatest(F.lit(0.05 * i), i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(f"n{i}", F.lit(0.0))))).otherwise(0.5 * i)
-        n = n.select("lang", *(discount(i).alias(f"d{i}") for i in (1, 2, 3)))
-        cut = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = counts[k].join(n, "lang").withColumns({"cut": cut, "context": F.shiftright("gram", 8)})
-        contexts = rows.groupBy("lang", "context").agg(F.sum("c").alias("total"), F.sum("cut").alias("mass")).withColumn("weight", F.col("mass") / F.col("total"))
-        rows = rows.join(contexts, ["lang", "context"]).withColumn("own", (F.col("c") - F.col("cut")) / F.col("total"))
-        if below is None:
-            p = rows.select("lang", "gram", (F.col("own") + F.col("weight") / 256).alias("p"))
-        else:
-            rows = rows.withColumn("suffix", F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1))
-            p = rows.join(below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q")), ["lang", "suffix"]).select("lang", "gram", (F.col("own") + F.col("weight") * F.col("q")).alias("p"))
-        below = materialize(p, f"kn-probabilities-{k}")
-        tables.append(below.select("lang", F.lit(k).alias("kind"), "gram", F.log("p").alias("value")))
-        tables.append(contexts.select("lang", F.lit(8 + k - 1).alias("kind"), F.col("context").alias("gram"), F.log("weight").alias("value")))
-    return materialize(reduce(DataFrame.unionByName, tables), "kn-model")
+    found = texts.select("lang", "of", "text").mapInArrow(run, "lang string, v long, w long, n long")
+    pairs = materialize(found.groupBy("lang", "v", "w").agg(F.sum("n").alias("c")), "kn-pairs")
+    words = materialize(pairs.groupBy("lang", "w").agg(F.count("*").alias("c")), "kn-words")
+    of_pairs, of_words = _discounts(pairs), _discounts(words)
+    # One place more than there are words stands for all unknown ones.
+    base = of_words.select("lang", (F.col("mass") / F.col("total") / (F.col("types") + 1)).alias("p0"))
+    base = materialize(base, "kn-base")
+    known = words.join(_by_lang(of_words.join(base, "lang")), "lang").select("w", F.log((F.col("c") - _cut()) / F.col("total") + F.col("p0")).alias("log_p1"), F.log("p0").alias("log_p0"))
+    known = materialize(known, "kn-p1")
+    contexts = pairs.join(_by_lang(of_pairs.drop("total")), "lang").groupBy("v").agg(F.sum("c").alias("total"), F.sum(_cut()).alias("cut"))
+    contexts = materialize(contexts.select("v", "total", F.log(F.col("cut") / F.col("total")).alias("log_b")), "kn-contexts")
+
+    halves = pairs.join(_by_lang(of_pairs.select("lang", "d1", "d2", "d3")), "lang").select("v", "w", "c", _cut().alias("cut")).join(contexts, "v")
+    halves = materialize(halves.select("v", "w", F.col("c").cast("int").alias("c"), ((F.col("c") - F.col("cut")) / F.col("total")).cast("float").alias("own"), F.col("log_b").cast("float").alias("log_b")), "kn-halves")
+    release(pairs)
+    whole = halves.join(known.select("w", "log_p1"), "w")
+    gain = F.log1p(F.col("own") / F.exp(F.col("log_b") + F.col("log_p1")))  # p2 over what backing off gives
+    schema = "key long, value float, c int"
+
+    def keyed(batches):
+        from tessera.llm.quality import _LEFT, _RIGHT, mix
+
+        for b in batches:
+            v, w = (b.column(c).to_numpy().view(np.uint64) for c in ("v", "w"))
+            yield pa.RecordBatch.from_arrays([pa.array(mix(v * _LEFT + w * _RIGHT).view(np.int64)), b.column("value"), b.column("c")], ["key", "value", "c"])
+
+    second = materialize(whole.select("v", "w", gain.cast("float").alias("value"), "c").mapInArrow(keyed, schema), "kn-model-2")
+    release(halves)
+    first = known.join(contexts, known["w"] == contexts["v"], "full")
+    value = F.coalesce(F.col("log_p1") - F.col("log_p0"), F.lit(0.0)) + F.coalesce("log_b", F.lit(0.0))
+    first = materialize(first.select(F.coalesce("w", "v").alias("key"), value.cast("float").alias("value"), F.coalesce("total", F.lit(0)).cast("int").alias("c")), "kn-model-1")
+    return first.unionByName(second), base
 
 
 class Lookup:
@@ -164,89 +180,81 @@ class Lookup:
         return out, found
 
 
-def log_probability(model: Lookup, gram: np.ndarray) -> float:
-    """Sum of log probabilities of the last bytes of 5-grams."""
-    total = 0.0
-    for k in range(ORDER, 0, -1):
-        gram = gram & ((1 << 8 * k) - 1)
-        value, found = model.get(gram | (k << 40))
-        total += float(value.sum(dtype=np.float64))
-        gram = gram[~found]
-        if not len(gram):
-            return total
-        total += float(model.get((gram >> 8) | ((8 + k - 1) << 40))[0].sum(dtype=np.float64))
-    return total - len(gram) * math.log(256)
+def _score_batches(batches: Iterator[pa.RecordBatch], heavy: Lookup) -> Iterator[pa.RecordBatch]:
+    """id, print, key, direct, n: a row for each document with words (direct: what ``heavy`` gives; n: places) and one for each other word and pair (n is 0)."""
 
+    def flush(held: list) -> pa.RecordBatch:
+        sizes = np.array([2 * len(k) - 1 for _, _, k in held])
+        keys = np.concatenate([x for _, _, k in held for x in (k, pair_keys(k))]).view(np.int64)
+        of = np.repeat(np.arange(len(held)), sizes)
+        value, known = heavy.get(keys)
+        ids, prints = (np.array([x[c] for x in held], dtype=t) for c, t in ((0, np.int64), (1, np.int32)))
+        direct = np.bincount(of, weights=value, minlength=len(held))
+        rest = ~known
+        n = int(rest.sum())
+        own = mix(ids.view(np.uint64) + _END).view(np.int64)  # spreads the documents' own rows over all shards
+        columns = [np.concatenate([ids, ids[of[rest]]]), np.concatenate([prints, prints[of[rest]]]), np.concatenate([own, keys[rest]]), np.concatenate([direct, np.zeros(n)]).astype(np.float32), np.concatenate([(sizes - 1) // 2, np.zeros(n, np.int64)]).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "print", "key", "direct", "n"])
 
-def _scored_in_place(docs: DataFrame, model: DataFrame) -> DataFrame:
-    # Numbers only, as Arrow: BROADCAST_ROWS rows of 20 bytes at most.
-    rows = model.select(F.xxhash64("lang").alias("of"), (F.col("gram").bitwiseOR(F.col("kind").cast("long") * (1 << 40))).alias("key"), F.col("value").cast("float").alias("value")).toArrow()
-    of, key, value = (rows.column(c).to_numpy() for c in ("of", "key", "value"))
-    shared = docs.sparkSession.sparkContext.broadcast({int(k): (key[of == k], value[of == k]) for k in np.unique(of)})
-    del rows, of, key, value
+    for b in batches:
+        held, size = [], 0
+        for i, p, of, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            keys = sequence(text, of)
+            if len(keys):
+                held.append((i, p, keys))
+                size += 2 * len(keys)
+            if size >= PIECE:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
+
+def score(texts: DataFrame, model: DataFrame, heavy_share: float = HEAVY, waves: int = WAVES) -> DataFrame:
+    """id, print, n (places), total: sums of the model's values over every document of ``texts`` (id, print, of, text)."""
+    spark = texts.sparkSession
+    ship(spark)
+    # c of the first order adds up to the training text's places.
+    places = model.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0] / 2
+    heavy = model.where(F.col("c") >= F.lit(max(1.0, heavy_share * places))).select("key", "value").toArrow()  # 2 / heavy_share rows at most
+    shared = spark.sparkContext.broadcast((heavy.column("key").to_numpy(), heavy.column("value").to_numpy()))
 
     def run(batches):
-        from tessera.llm.quality import Lookup, log_probability, text_grams
-
-        models = {k: Lookup(*x) for k, x in shared.value.items()}
-        for b in batches:
-            n, total = [], []
-            for k, t in zip(b.column(3).to_pylist(), b.column(2), strict=True):
-                raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
-                n.append(len(raw))
-                total.append(sum(log_probability(models[k], g) for g in text_grams(raw)) if k in models and raw else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(total, pa.float64())], ["doc_id", "lang", "n_bytes", "total"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.withColumn("of", F.xxhash64("lang")).mapInArrow(run, f"doc_id {kind}, lang string, n_bytes long, total double")
+        from tessera.llm.quality import Lookup, _score_batches
 
+        yield from _score_batches(batches, Lookup(*shared.value))
 
-def _scored_by_joins(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """The same by joining gram counts of each document with a model of any size."""
+    values = model.select("key", "value")
+    parts = None
+    for wave in range(waves):
+        mine = texts.where(F.pmod(F.xxhash64("id"), F.lit(waves)) == wave).select("id", "print", "of", "text")
+        rows = mine.mapInArrow(run, "id long, print int, key long, direct float, n int")
+        met = rows.join(values, "key", "left").withColumn("x", F.col("direct").cast("double") + F.when(F.col("n") == 0, F.coalesce("value", F.lit(0.0))).otherwise(0.0))
+        totals = materialize(met.groupBy("id", "print").agg(F.sum("x").alias("total"), F.sum("n").alias("n")), f"kn-scores-{wave}")
+        parts = totals if parts is None else parts.unionByName(totals)
+    return parts
 
-    def run(batches):
-        from tessera.llm.quality import text_grams
 
-        for b in batches:
-            for key, lang, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for g in text_grams((t or "").encode("utf-8", "surrogatepass")):
-                    g, n = np.unique(g, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(g), pa.int64()), pa.array([lang] * len(g), pa.string()), pa.array(g), pa.array(n.astype(np.int64))], ["key", "lang", "gram", "n"])
-
-    keyed = docs.withColumn("key", F.xxhash64("lang", "text"))
-    left = keyed.select("key", "lang", "text").dropDuplicates(["key"]).mapInArrow(run, "key long, lang string, gram long, n long")
-    parts = []
-    for k in range(ORDER, 0, -1):
-        left = left.groupBy("key", "lang", F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-        own = lambda kind, name: model.where(F.col("kind") == kind).select("lang", F.col("gram").alias(name), F.col("value").cast("float").cast("double").alias("value"))
-        tried = materialize(left.join(own(k, "gram"), ["lang", "gram"], "left"), "kn-tried")
-        parts.append(tried.where("value IS NOT NULL").select("key", (F.col("value") * F.col("n")).alias("x")))
-        left = tried.where("value IS NULL").select("key", "lang", "gram", "n")
-        parts.append(left.withColumn("context", F.shiftright("gram", 8)).join(own(8 + k - 1, "context"), ["lang", "context"]).select("key", (F.col("value") * F.col("n")).alias("x")))
-    parts.append(left.select("key", (-math.log(256) * F.col("n")).alias("x")))
-    totals = reduce(DataFrame.union, parts).groupBy("key").agg(F.sum("x").alias("total"))
-    known = model.select("lang").distinct().withColumn("known", F.lit(True))
-    out = keyed.select("doc_id", "lang", "key", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")).join(totals, "key", "left").join(known, "lang", "left")
-    return out.select("doc_id", "lang", "n_bytes", F.when(F.col("known") & (F.col("n_bytes") > 0), F.col("total")).alias("total"))
-
-
-def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, heavy_share: float = HEAVY, waves: int = WAVES) -> DataFrame:
     """doc_id, lang, held_out, n_bytes, perplexity, threshold, keep of every row of ``docs`` (doc_id, text, lang)."""
-    ship(docs.sparkSession)
     fold = lambda c: F.crc32(c.cast("string").cast("binary")) % 5
     trusted = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    texts = docs.select("doc_id", F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text")
+    own = F.when(F.col("lang").isNull(), "?").otherwise(F.concat(F.lit("="), "lang"))
+    texts = docs.select("doc_id", F.col("lang").alias("_lang"), own.alias("lang"), "text")
+    texts = texts.withColumns({"of": F.xxhash64("lang"), "print": F.hash("lang", "text"), "id": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("lang", "text"))})
     ids = materialize(trusted.where(fold(F.col("doc_id")) > 1), "kn-trusted")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids  # else texts are dealt by id
-    model = train(texts.join(ids, "doc_id", "left_semi"))
-    score = _scored_in_place if model.count() <= broadcast_rows else _scored_by_joins
-    scored = score(texts, model)
-    scored = materialize(scored.withColumn("perplexity", F.exp(-F.col("total") / F.col("n_bytes"))), "kn-scores")
+    model, base = train(texts.join(ids, "doc_id", "left_semi"))
+    totals = score(texts, model, heavy_share, waves)
+    rows = texts.select("doc_id", "_lang", "lang", "id", "print", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    scored = rows.join(totals, ["id", "print"], "left").join(_by_lang(base), "lang", "left")
+    scored = scored.select("doc_id", "_lang", "lang", "n_bytes", F.exp(-(F.col("total") / F.col("n") + F.log("p0"))).alias("perplexity"))
+    scored = materialize(scored, "kn-scores")
     calibration = scored.join(trusted.where(fold(F.col("doc_id")) == 1), "doc_id", "left_semi")
-    limits = calibration.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
-    out = scored.join(limits, "lang", "left")
+    limits = materialize(calibration.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold")), "kn-limits")
+    out = scored.join(_by_lang(limits), "lang", "left")
     keep = F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
-    return out.select("doc_id", "lang", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "n_bytes", "perplexity", "threshold", keep.alias("keep"))
+    return out.select("doc_id", F.col("_lang").alias("lang"), F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "n_bytes", "perplexity", "threshold", keep.alias("keep"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

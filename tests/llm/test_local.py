@@ -270,14 +270,6 @@ def test_composed_machine_against_all_paths(tokens):
     assert plain == pytest.approx(want)
 
 
-def test_grams_of_segments(monkeypatch):
-    whole = np.concatenate(list(quality.text_grams(b"abcdefghij" * 30)))
-    monkeypatch.setattr(quality, "SEGMENT", 7)
-    assert (np.concatenate(list(quality.text_grams(b"abcdefghij" * 30))) == whole).all()
-    assert whole[0] == ord("a") and whole[5] == int.from_bytes(b"bcdef", "big")
-    assert list(quality.text_grams(b"")) == []
-
-
 def test_lookup():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**44, 5000))

@@ -400,59 +400,70 @@ def test_secret_frames(spark):
 
 
 def plain_kneser_ney(texts):
-    """A model of the texts' bytes as nested dicts, and a function for a byte's probability."""
-    n = quality.ORDER
-    counts = {n: Counter()}
-    for t in texts:
-        padded = b"\0" * (n - 1) + t
-        counts[n].update(padded[i : i + n] for i in range(len(t)))
-    for k in range(n - 1, 0, -1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
-    cut = {}
-    for k, c in counts.items():
+    """A model of the texts' word pairs as dicts, and a function for the perplexity of a text."""
+    marked = lambda t: ["<s>", *re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOWER)), "</s>"]
+    pairs = Counter(x for t in texts if len(marked(t)) > 2 for x in zip(marked(t), marked(t)[1:]))
+    words = Counter(w for _, w in pairs)
+
+    def cuts(c):
         m = Counter(c.values())
         y = m[1] / (m[1] + 2 * m[2]) if m[1] else 0
-        cut[k] = [0] + [min(i, max(0.05 * i, i - (i + 1) * y * m[i + 1] / m[i])) if m[i] and m[1] else 0.5 * i for i in (1, 2, 3)]
-    total, mass = defaultdict(float), defaultdict(float)
-    for k, c in counts.items():
-        for g, x in c.items():
-            total[g[:-1], k] += x
-            mass[g[:-1], k] += cut[k][min(x, 3)]
-
-    def p(g):
-        k = len(g)
-        if k == 0:
-            return 1 / 256
-        if not total[g[:-1], k]:
-            return p(g[1:])
-        x = counts[k][g]
-        return max(0, x - cut[k][min(x, 3)]) / total[g[:-1], k] + mass[g[:-1], k] / total[g[:-1], k] * p(g[1:])
-
-    return p
-
-
-def test_quality(spark):
+        return [0] + [min(i, max(0.05 * i, i - (i + 1) * y * m[i + 1] / m[i])) if m[i] and m[1] else 0.5 * i for i in (1, 2, 3)]
+
+    d1, d2 = cuts(words), cuts(pairs)
+    total, mass = Counter(), Counter()
+    for (v, _), c in pairs.items():
+        total[v] += c
+        mass[v] += d2[min(c, 3)]
+    n = sum(words.values())
+    p0 = sum(d1[min(c, 3)] for c in words.values()) / n / (len(words) + 1)
+
+    def p(v, w):
+        q = p0 + (words[w] - d1[min(words[w], 3)]) / n
+        return ((pairs[v, w] - d2[min(pairs[v, w], 3)]) + mass[v] * q) / total[v] if total[v] else q
+
+    return lambda t: np.exp(-np.mean([np.log(p(v, w)) for v, w in zip(marked(t), marked(t)[1:])])), p, words
+
+
+@pytest.mark.parametrize(("heavy", "waves"), [(quality.HEAVY, 1), (2.0, 3), (0.05, 2)])
+def test_quality(spark, heavy, waves):
+    """Perplexities, thresholds and decisions of all documents against a plain version, whatever is looked up in place."""
     rng = random.Random(10)
-    clean = lambda: " ".join(rng.choice(["the", "river", "of", "stone", "wood", "and"]) for _ in range(40))
-    rows = [(i, clean() if i % 5 else "".join(chr(rng.randrange(33, 126)) for _ in range(120)), "s", None if i % 7 == 0 else "en") for i in range(300)]
-    rows += [(1000, None), (1001, ""), (None, clean()), (1002, "river of stone", "s", "xx")]
-    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(300)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    vocabulary = ["the", "river", "of", "stone", "wood", "and", *(f"w{i}" for i in range(60))]
+    clean = lambda: " ".join(rng.choices(vocabulary, [9, 5, 7, 3, 2, 6] + [0.5] * 60, k=rng.randrange(20, 50)))
+    langs = {i: None if i % 7 == 0 else "" if i % 11 == 0 else "en" for i in range(400)}
+    rows = [(i, clean() if i % 5 else " ".join("".join(chr(rng.randrange(33, 126)) for _ in range(5)) for _ in range(25)), "s", langs[i]) for i in range(400)]
+    rows += [(1000, None), (1001, ""), (None, "The river OF stone"), (1002, "river of stone", "s", "xx"), (1003, " \n\t "), (1004, "the river " * 20_000), (3, rows[3][1], "s", langs[3]), (4, "of another", "s", "en")]
+    labels = [(i, int(i % 5 > 0), 0) for i in range(400)] + [(None, 1, 0), (1001, 1, 0)]
     docs = documents(spark, rows, extra=True)
-    got = {r.doc_id: r for r in quality.score_quality(docs, labels).collect()}
+    result = quality.score_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), heavy_share=heavy, waves=waves).collect()
     fold = lambda i: crc32(str(i).encode()) % 5
-    p = plain_kneser_ney([r[1].encode() for r in rows[:300] if r[0] % 5 and fold(r[0]) > 1 and r[3] == "en"])
-    for i in (1, 5, 12, 33):
-        t = rows[i][1].encode()
-        padded = b"\0" * 4 + t
-        want = np.exp(-np.mean([np.log(p(padded[j : j + 5])) for j in range(len(t))]))
-        assert got[i].lang == "en" and got[i].perplexity == pytest.approx(want, rel=1e-4)
-    assert abs(sum(p(b"rive" + bytes([c])) for c in range(256)) - 1) < 1e-9
-    assert all(not got[i].keep for i in range(300) if i % 5 == 0 and i % 7) and np.mean([got[i].keep for i in range(300) if i % 5]) > 0.95
-    assert got[1000].keep and got[1001].keep and got[1002].keep and got[1002].perplexity is None and got[None].keep
-    joined = {r.doc_id: r.perplexity for r in quality.score_quality(docs, labels, broadcast_rows=0).collect()}
-    assert joined == {i: pytest.approx(r.perplexity, rel=1e-6) if r.perplexity is not None else None for i, r in got.items()}
+    want, limits = [], {}
+    every = [(r[0], r[1], r[3] if len(r) > 3 else "en") for r in rows]
+    trusted = {i for i, q, _ in labels if q and i is not None}
+    for lang in {x for _, _, x in every}:
+        texts = [t for i, t, x in every if x == lang and i in trusted and fold(i) > 1 and t]
+        of, p, words = plain_kneser_ney(texts) if texts else (None, None, None)
+        if texts and lang == "en":
+            assert sum(p("river", w) for w in [*words, "never seen"]) == pytest.approx(1)
+        own = [(i, t, of(t) if of and (t or "").split() else None) for i, t, x in every if x == lang]
+        calibrated = sorted(v for i, _, v in own if i in trusted and fold(i) == 1 and v is not None)
+        limits[lang] = calibrated[max(0, int(np.ceil(0.99 * len(calibrated))) - 1)] if calibrated else None
+        want += [(i, lang, len((t or "").encode()), v, limits[lang], v is None or limits[lang] is None or v <= limits[lang] * (1 + 1e-9)) for i, t, v in own]
+    assert {None, "", "en", "xx"} == set(limits) and sum(v is not None for v in limits.values()) >= 3
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[1] is None, r[2])
+    got = sorted(((r.doc_id, r.lang, r.n_bytes, r.perplexity, r.threshold, r.keep) for r in result), key=key)
+    for g, w in zip(got, sorted(want, key=key), strict=True):
+        assert g[:3] == w[:3] and g[5] == w[5], (g, w)
+        assert [x if x is None else pytest.approx(x, rel=1e-4) for x in w[3:5]] == list(g[3:5])
+    assert all(r.held_out == (r.doc_id is not None and fold(r.doc_id) == 0) for r in result)
+    assert all(not r.keep for r in result if r.doc_id is not None and r.doc_id < 400 and r.doc_id % 5 == 0 and r.threshold)
+
+
+def test_quality_of_empty_tables(spark):
+    docs, labels = documents(spark, [(1, "a b c"), (2, None)]), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.score_quality(docs.where("false"), labels).count() == 0
-    assert quality.score_quality(docs, labels.where("false")).where("keep").count() == len(rows)
+    assert [r.keep for r in quality.score_quality(docs, labels.where("false")).collect()] == [True, True]
 
 
 # 10

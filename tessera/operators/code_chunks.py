@@ -10,12 +10,12 @@ and files of other kinds, are cut into line windows.
 from __future__ import annotations
 
 import ast
-import io
 import re
 import tokenize
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -76,13 +76,13 @@ def merge_small(chunks: list[Chunk], max_lines: int = MAX_LINES, merge_lines: in
 
 # Python
 
+_ROWS = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
+
 
 def _python(text: str) -> list[Decl]:
     tree = ast.parse(text)
-    starts = [0]
-    for line in text.splitlines(keepends=True):
-        starts.append(starts[-1] + len(line))
-    rows = text.splitlines(keepends=True)
+    rows = _ROWS.findall(text)  # where Python ends lines; str.splitlines knows more ends
+    starts = [0, *accumulate(map(len, rows))]
     at = lambda row, col: starts[row - 1] + len(rows[row - 1].encode()[:col].decode("utf-8", "ignore"))
 
     def decl(n: ast.stmt) -> Decl:
@@ -99,12 +99,14 @@ def _python(text: str) -> list[Decl]:
         return d
 
     out = [decl(n) for n in tree.body]
-    for t in tokenize.generate_tokens(io.StringIO(text).readline) if "#" in text else ():
+    begins, comments, lines = [d.start for d in out], [], iter(rows)
+    for t in tokenize.generate_tokens(lambda: next(lines, "")) if "#" in text else ():
         if t.type == tokenize.COMMENT:
-            p = at(1, 0) + starts[t.start[0] - 1] + t.start[1]
-            if not any(d.start <= p < d.end for d in out):
-                out.append(Decl("comment", "", p, p + len(t.string)))
-    return sorted(out, key=lambda d: d.start)
+            p = starts[t.start[0] - 1] + t.start[1]
+            i = bisect_right(begins, p) - 1
+            if i < 0 or p >= out[i].end:
+                comments.append(Decl("comment", "", p, p + len(t.string)))
+    return sorted(out + comments, key=lambda d: d.start)
 
 
 # Brace languages

@@ -6,7 +6,7 @@ import math
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import phrases, tokens
@@ -21,8 +21,55 @@ def tokenised(chunks: DataFrame, text: str = "content") -> DataFrame:
 
 
 def postings(tokenised_chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, pos."""
-    return tokenised_chunks.select("chunk_id", F.posexplode("terms").alias("pos", "term")).select("term", "chunk_id", "pos")
+    """term, pos and the other columns but terms and n_tokens, of every token.
+
+    The outer form: Spark would put a filter on the inner one's size below the tokeniser and run that twice.
+    """
+    others = [c for c in tokenised_chunks.columns if c not in ("terms", "n_tokens")]
+    found = tokenised_chunks.select(*others, F.posexplode_outer("terms").alias("pos", "term")).where("term IS NOT NULL")
+    return found.select("term", *others, "pos")
+
+
+def term_counts(tokenised_chunks: DataFrame) -> DataFrame:
+    """term, df, cf: chunks with each term, and occurrences, summed by task before they are dealt by term.
+
+    Terms of a chunk are sorted, so that the first of equal ones counts for df, and a frequent term is one row for each task.
+    """
+    own = tokenised_chunks.select(F.array_sort("terms").alias("own"))
+    first = F.transform("own", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get("own", i - 1) != t)).cast("int").alias("first")))
+    found = own.select(F.explode_outer(first).alias("t")).where("t IS NOT NULL")
+    return found.groupBy("t.term").agg(F.sum("t.first").alias("df"), F.count("*").alias("cf"))
+
+
+def occurrences(wanted: list[list[str]]) -> Column:
+    """How often each of ``wanted`` occurs in column terms, as an array."""
+
+    def times(p: list[str]) -> Column:
+        if len(p) == 1:
+            return F.size(F.filter("terms", lambda t: t.startswith(p[0])))
+        ends = F.transform("terms", lambda t, i: t.startswith(p[-1]) & (i >= len(p) - 1) & reduce(lambda a, b: a & b, (F.get("terms", i - len(p) + 1 + j) == w for j, w in enumerate(p[:-1]))))
+        return F.size(F.filter(ends, lambda x: x))
+
+    return F.array(*map(times, wanted)) if wanted else F.array().cast("array<int>")
+
+
+def search_counted(counted: DataFrame, query: str, k: int = LEXICAL_K, digits: int | None = None) -> DataFrame:
+    """What ``search`` gives, of chunks that have no postings yet: chunk_id, n_tokens and f (``occurrences`` of the query) of every chunk.
+
+    ``counted`` should be a written table, as it is read twice: for a row of statistics, and for the scores.
+    """
+    weights = list(Counter(tuple(p) for p in phrases(query)).values())
+    if not weights:
+        return counted.select("chunk_id", F.lit(0.0).alias("score")).where("false")
+    hit = lambda i: F.sum((F.get("f", F.lit(i)) > 0).cast("long"))
+    ndocs, average, *nhit = counted.agg(F.count("*"), F.avg("n_tokens"), *(hit(i) for i in range(len(weights)))).first()
+    score = F.lit(0.0)
+    for i, (weight, n) in enumerate(zip(weights, nhit, strict=True)):
+        idf = math.log((ndocs - n + 0.5) / (n + 0.5)) if n else 0.0
+        f = F.get("f", F.lit(i))
+        score = score + F.when(f > 0, weight * (idf if idf > 0 else LEAST_IDF) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("n_tokens") / (average or 1.0)))).otherwise(0.0)
+    best = counted.where(F.exists("f", lambda x: x > 0)).select("chunk_id", (score if digits is None else F.round(score, digits)).alias("score"))
+    return best.orderBy(F.desc("score"), "chunk_id").limit(max(0, k))
 
 
 def corpus_stats(lengths: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ Scores are rounded to 9 digits before ranking on both sides, so that last bits d
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from tessera.functions import text as fx
 from tessera.operators import code_chunks as cc
 from tessera.operators import dense, fusion, lexical, sync
 from tessera.operators.line_chunks import NOT_BLANK, line_windows, merge_small
+from tessera.plans.hybrid import Tuning
 from tessera.runtime import materialize, table
 from tessera.sources.corpus import EXTENSIONS, IGNORE_DIRS, CorpusSource, selects
 
@@ -88,9 +90,11 @@ def content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", sync.content_hash(F.col("text")).alias("content_hash"))
 
 
-@query("SELECT doc_id, text FROM documents WHERE regexp_matches(text, '\\S')")
+@query("SELECT doc_id, text FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN repeat(' ' || chr(9) || chr(10), CAST(doc_id % 3 AS INT)) ELSE text END AS text FROM documents) WHERE regexp_matches(text, '\\S')")
 def blank_filter(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text").where(F.col("text").rlike(NOT_BLANK))
+    """Every tenth document is made empty or blank, and goes."""
+    text = F.when(F.col("doc_id") % 10 == 0, F.expr("repeat(' \t\n', cast(doc_id % 3 as int))")).otherwise(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", text.alias("text")).where(F.col("text").rlike(NOT_BLANK))
 
 
 @query("SELECT doc_id, substring(text, 1, 1024) AS text FROM documents")
@@ -145,14 +149,25 @@ def merge_trivial(spark, d):
     return docs.select("doc_id", F.explode(merge_small(F.col("chunks"))).alias("c")).select("doc_id", "c.start_line", "c.end_line", "c.symbol", "c.content")
 
 
-@query()
+@query(
+    r"""SELECT doc_id, CAST(i AS INT) AS ordinal, CAST(3 * i + 1 AS INT) AS start_line, CAST(3 * i + 3 AS INT) AS end_line, 'f_' || i AS symbol,
+  'def f_' || i || '(x):' || chr(10) || '    # ' || regexp_replace(line, '[\x00-\x1f]', '', 'g') || chr(10) || '    return x' AS content
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)"""
+)
 def code_chunks(spark, d):
-    """Declaration chunks of a Python file made of all words of each document, a function for each."""
-    body = F.concat_ws("\n", F.transform(F.split(F.regexp_replace("text", r"[^A-Za-z\s]", ""), r"\s+"), lambda w: F.concat(F.lit("def f_"), w, F.lit("(x):\n    return x\n"))))
+    """Declaration chunks of a Python file made of the whole text of each document, a function for each line."""
+    lines = F.split(F.regexp_replace("text", r"[\x00-\x09\x0b-\x1f]", ""), "\n")
+    body = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("def f_"), i.cast("string"), F.lit("(x):\n    # "), x, F.lit("\n    return x"))), "\n")
     docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))
     return cc.code_chunks(docs, "doc_id").select("doc_id", "ordinal", "start_line", "end_line", "symbol", "content")
 
 
+@query(f"WITH {_chunk_sql(6, 3)} SELECT * FROM c WHERE regexp_matches(chunk, '\\S')")
+def line_chunks_options(spark, d):
+    """An overlap of more than a window becomes half of one."""
+    return _line_chunks(spark, d, 6, 9)
+
+
 # Sync
 
 _STATUS = f"WITH {_OLD}, s AS (SELECT coalesce(n.path, o.path) AS path, CASE WHEN n.path IS NULL THEN 'deleted' WHEN o.path IS NULL THEN 'new' WHEN sha256(n.content) = sha256(o.content) THEN 'unchanged' ELSE 'changed' END AS status FROM now n FULL JOIN old o ON n.path = o.path)"
@@ -249,18 +264,19 @@ def dim_mismatch_skip(spark, d):
 
 
 @query(
-    """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id < 5)
+    """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS chunk_id, round(list_cosine_similarity(b.embedding::DOUBLE[], a.embedding::DOUBLE[]), 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)
 SELECT query_id, chunk_id, round(score, 6) AS score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM p) WHERE r <= 10"""
 )
 def dense_batch_topk(spark, d):
-    """Ten neighbours for each of the five stated query vectors."""
-    return _batch(spark, d, "vec_id < 5")
+    """Ten neighbours for every hundredth vector, among all vectors."""
+    return _batch(spark, d, "vec_id % 100 = 0")
 
 
-@query()
-def dense_batch_topk_all(spark, d):
-    """Ten neighbours for every hundredth vector, at any scale."""
-    return _batch(spark, d, "vec_id % 100 = 0")
+@query(f"WITH {_V} SELECT chunk_id, round(score, 6) AS score FROM s WHERE chunk_id % 10 <> 0 ORDER BY s.score DESC, chunk_id LIMIT 50")
+def dense_null_vectors(spark, d):
+    """Every tenth vector is null, and left out."""
+    own = _vectors(spark, d).withColumn("embedding", F.when(F.col("chunk_id") % 10 != 0, F.col("embedding")))
+    return dense.top_k(own, _probe(spark, d), 50, digits=9).withColumn("score", F.round("score", 6))
 
 
 def _batch(spark, d, asked: str) -> DataFrame:
@@ -306,8 +322,14 @@ _CONV_SOURCE = f"SELECT conv_id * {SPAN} + turn AS chunk_id, text FROM conversat
 
 
 def _bm25(chunks: DataFrame, q: str, k: int = 50) -> DataFrame:
-    counted = lexical.tokenised(chunks, "text")
-    return lexical.search(lexical.postings(counted), counted.select("chunk_id", "n_tokens"), q, k, digits=9).withColumn("score", F.round("score", 6))
+    return _ranked(chunks, q, k).withColumn("score", F.round("score", 6))
+
+
+def _ranked(chunks: DataFrame, q: str, k: int) -> DataFrame:
+    """Texts are read and tokenised once; a row of counts for each chunk is written, statistics and scores come from those."""
+    wanted = list(map(list, dict.fromkeys(map(tuple, fx.phrases(q)))))
+    counted = lexical.tokenised(chunks, "text").select("chunk_id", "n_tokens", lexical.occurrences(wanted).alias("f"))
+    return lexical.search_counted(materialize(counted, "bm25"), q, k, digits=9)
 
 
 def _doc_chunks(spark, d):
@@ -330,9 +352,21 @@ def corpus_stats(spark, d):
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY term")
 def term_df(spark, d):
-    """Document and corpus frequency: summed by document first, so a frequent term is a few partial sums."""
-    terms = lexical.postings(lexical.tokenised(_doc_chunks(spark, d), "text"))
-    return terms.groupBy("term", "chunk_id").count().groupBy("term").agg(F.count("*").alias("df"), F.sum("count").alias("cf"))
+    """Document and corpus frequency of every term."""
+    return lexical.term_counts(lexical.tokenised(_doc_chunks(spark, d), "text"))
+
+
+@query(
+    f"""WITH {_bm25_sql(_DOC_SOURCE, "license", None)}, p AS (SELECT chunk_id, count(*) AS f FROM (SELECT chunk_id, unnest(t) AS w FROM tok) WHERE starts_with(w, 'license') GROUP BY chunk_id)
+SELECT chunk_id, f, round(score, 6) AS score FROM p JOIN b USING (chunk_id)"""
+)
+def postings_search(spark, d):
+    """The same scores from an inverted index of every token, as indexes keep it, and the hits themselves."""
+    counted = lexical.tokenised(_doc_chunks(spark, d), "text")
+    index = materialize(lexical.postings(counted).sortWithinPartitions("term", "chunk_id"), "postings")
+    scores = lexical.bm25(index, counted.select("chunk_id", "n_tokens"), "license")
+    hits = lexical.phrase_hits(index, [["license"]]).select("chunk_id", "f")
+    return hits.join(scores, "chunk_id").select("chunk_id", "f", F.round(F.round("score", 9), 6).alias("score"))
 
 
 def _bm25_query(name: str, q: str, source: str, chunks) -> None:
@@ -362,9 +396,19 @@ SELECT coalesce(dn.chunk_id, lx.chunk_id) AS chunk_id, round(coalesce(1.0::DOUBL
 )
 def rrf_fuse(spark, d):
     near = dense.top_k(_vectors(spark, d), _probe(spark, d), 50, digits=9)
-    counted = lexical.tokenised(_doc_chunks(spark, d), "text")
-    words = lexical.search(lexical.postings(counted), counted.select("chunk_id", "n_tokens"), "the reading", 50, digits=9)
-    return fusion.fuse(near, words).withColumn("score", F.round("score", 9))
+    return fusion.fuse(near, _ranked(_doc_chunks(spark, d), "the reading", 50)).withColumn("score", F.round("score", 9))
+
+
+@query(
+    f"""WITH {_V}, dn AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS r FROM (SELECT * FROM s ORDER BY score DESC, chunk_id LIMIT 20)),
+{_bm25_sql(_DOC_SOURCE, "the reading", 5)}, lx AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS r FROM x)
+SELECT coalesce(dn.chunk_id, lx.chunk_id) AS chunk_id, round(coalesce(1.0::DOUBLE / (10 + dn.r), 0) + coalesce(1.0::DOUBLE / (10 + lx.r), 0), 9) AS score FROM dn FULL JOIN lx ON dn.chunk_id = lx.chunk_id"""
+)
+def rrf_tuned(spark, d):
+    """Other numbers of candidates and another rank constant."""
+    tuned = Tuning(dense_k=20, lexical_k=5, rrf_k=10.0)
+    near = dense.top_k(_vectors(spark, d), _probe(spark, d), tuned.dense_k, digits=9)
+    return fusion.fuse(near, _ranked(_doc_chunks(spark, d), "the reading", tuned.lexical_k), tuned.rrf_k).withColumn("score", F.round("score", 9))
 
 
 @query(f"""SELECT doc_id, CAST(h AS INT) AS bucket, count(*) AS n FROM (SELECT doc_id, unnest(list_transform({_TOK}, lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % {DIM})) AS h FROM documents) GROUP BY ALL""")
@@ -377,12 +421,13 @@ def hash_embed(spark, d):
 def hybrid(spark: SparkSession, d: str, q: str = HYBRID_QUERY, top_n: int = 10, n: int = 60, o: int = 10) -> DataFrame:
     """Line windows of documents, hashed vectors, BM25 and cosine, fused; text is joined to the best only."""
     windows = _line_chunks(spark, d, n, o).withColumn("chunk_id", F.col("doc_id") * SPAN + F.col("ordinal"))
-    counted = windows.select("chunk_id", F.coalesce(fx.tokens(F.col("chunk")), F.array().cast("array<string>")).alias("terms")).withColumn("n_tokens", F.size("terms"))
-    lean = materialize(counted.select("chunk_id", "n_tokens", "terms", fx.hash_embedding(F.col("terms"), DIM).alias("embedding")), "hybrid")
+    wanted = list(map(list, dict.fromkeys(map(tuple, fx.phrases(q)))))
+    counted = lexical.tokenised(windows, "chunk")
+    lean = materialize(counted.select("chunk_id", "n_tokens", lexical.occurrences(wanted).alias("f"), fx.hash_embedding(F.col("terms"), DIM).alias("embedding")), "hybrid")
     words = [w for p in fx.phrases(q) for w in p]
     vector = spark.range(1).select(fx.hash_embedding(F.array(*(F.lit(w) for w in words)), DIM)).first()[0]
     near = dense.top_k(lean.select("chunk_id", "embedding"), vector, 50, digits=9)
-    best = fusion.fuse(near, lexical.search(lexical.postings(lean), lean.select("chunk_id", "n_tokens"), q, 50, digits=9)).limit(top_n)
+    best = fusion.fuse(near, lexical.search_counted(lean, q, 50, digits=9)).limit(top_n)
     ranks = Window.orderBy(F.desc("score"), "chunk_id")
     best = best.withColumn("rank", F.row_number().over(ranks))
     return windows.join(F.broadcast(best), "chunk_id").select("rank", "chunk_id", "doc_id", "start_line", "end_line", F.round("score", 9).alias("score"), fx.snippet(F.col("chunk")).alias("snippet")).orderBy("rank")
@@ -407,3 +452,13 @@ FROM tp JOIN k ON k.chunk_id = tp.chunk_id WHERE rank <= 10"""
 )
 def hybrid_search(spark, d):
     return hybrid(spark, d)
+
+
+@query("SELECT * FROM (VALUES ('blank query', 0::BIGINT), ('no results asked for', 0::BIGINT), ('less than none asked for', 0::BIGINT), ('one asked for', 1::BIGINT)) t(what, n)")
+def search_guards(spark, d):
+    """Searches that must be empty, and one that must not."""
+    chunks = _doc_chunks(spark, d)
+    counted = lexical.tokenised(chunks, "text")
+    cases = {"blank query": (" _ -", 5), "no results asked for": ("the", 0), "less than none asked for": ("the", -1), "one asked for": ("the", 1)}
+    found = [lexical.search(lexical.postings(counted), counted.select("chunk_id", "n_tokens"), q, k).agg(F.lit(what).alias("what"), F.count("*").alias("n")) for what, (q, k) in cases.items()]
+    return reduce(DataFrame.unionByName, found)

@@ -2,7 +2,6 @@
 
 import importlib.util
 import os
-import re
 import time
 
 import numpy as np
@@ -10,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tessera.functions.text import cosine, snippet
+from tessera.functions.text import cosine, phrases, snippet
 from tessera.operators import dense, fusion, lexical
 from tessera.operators.code_chunks import line_chunks
 from tessera.operators.embed import Embedder
@@ -50,7 +49,7 @@ def test_batch_search_of_every_hundredth_vector(spark):
         s = np.round(x @ x[q], 9)
         want[ids[q]] = [(ids[i], n + 1, pytest.approx(s[i], abs=1e-6)) for n, i in enumerate(np.lexsort((ids, -s))[:10])]
     got = {}
-    for r in sorted(__spark_entry__.queries()["dense_batch_topk_all"](spark, "/root/testdata/sf0.1").collect(), key=lambda r: (r.query_id, r.rank)):
+    for r in sorted(__spark_entry__.queries()["dense_batch_topk"](spark, "/root/testdata/sf0.1").collect(), key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append((r.chunk_id, r["rank"], r.score))
     assert len(got) == 20 and got == want
 
@@ -82,7 +81,13 @@ def test_lexical(spark):
     for q in ("parse", "parse_config", "parse parse café", "Config", "zzz"):
         got = {r.chunk_id: r.score for r in lexical.bm25(lexical.postings(counted), counted, q).collect()}
         assert got == {i: pytest.approx(s, abs=1e-9) for i, s in lexical.bm25_in_memory(rows, q).items()}, q
+        f = counted.select("chunk_id", "n_tokens", lexical.occurrences([list(p) for p in dict.fromkeys(map(tuple, phrases(q)))]).alias("f"))
+        assert {r.chunk_id: r.score for r in lexical.search_counted(f, q).collect()} == {i: pytest.approx(s, abs=1e-9) for i, s in got.items()}, q
     assert lexical.search(lexical.postings(counted), counted, " _ -").count() == 0
+    df = {r.term: (r.df, r.cf) for r in lexical.term_counts(counted).collect()}
+    assert df == {w: (sum(w in t for t in rows.values()), sum(t.count(w) for t in rows.values())) for w in {w for t in rows.values() for w in t}}
+    plan = lexical.postings(counted)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1, plan
 
 
 def test_windows_and_snippets(spark):
@@ -233,18 +238,6 @@ def test_catalogue(spark, duck, name):
     assert sorted((row(r) for r in df.select(columns).collect()), key=repr) == sorted(map(row, got.fetchall()), key=repr)
 
 
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-def test_code_chunks_of_whole_documents(spark):
-    """A chunk for each word of each document, to the last."""
-    got = {}
-    for r in sorted(__spark_entry__.queries()["code_chunks"](spark, SF).select("doc_id", "ordinal", "start_line", "symbol").collect()):
-        got.setdefault(r.doc_id, []).append((r.ordinal, r.start_line, r.symbol))
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").collect()}
-    words = {i: re.split(r"\s+", re.sub(r"[^A-Za-z\s]", "", t, flags=re.ASCII), flags=re.ASCII) for i, t in texts.items()}
-    assert max(map(len, words.values())) > 1000
-    assert got == {i: [(n, 3 * n + 1, f"f_{w}") for n, w in enumerate(ws)] for i, ws in words.items()}
-
-
 def test_entry_without_llm(monkeypatch):
     real = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("tessera.llm", "corpus_pipeline") else real(name, *a))

@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 from itertools import accumulate
 
 import pandas as pd
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -277,8 +278,11 @@ def chunk_source(path: str, content: bytes | str | None, max_lines: int = MAX_LI
     return found or line_chunks(text, 1, "", max_lines, overlap)
 
 
-def code_chunks(files: DataFrame, key: str = "path", max_lines: int = MAX_LINES, overlap: int = OVERLAP) -> DataFrame:
-    """key, ordinal, start_line, end_line, symbol, content, error of (key, path, content); a file that fails has its error in one row."""
+def code_chunks(files: DataFrame, key: str = "path", max_lines: int = MAX_LINES, overlap: int = OVERLAP, done: Accumulator | None = None) -> DataFrame:
+    """key, ordinal, start_line, end_line, symbol, content, error of (key, path, content); a file that fails has its error in one row.
+
+    ``done`` counts files as tasks finish them (those of a task that is run again, again).
+    """
     ship(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,6 +300,8 @@ def code_chunks(files: DataFrame, key: str = "path", max_lines: int = MAX_LINES,
                 if len(out) >= PIECE:
                     yield table(out)
                     out = []
+            if done is not None:
+                done.add(len(pdf))
             yield table(out)
 
     kind = files.schema[key].dataType.simpleString()

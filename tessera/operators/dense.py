@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,19 +44,21 @@ def fast_top_k(vectors: DataFrame, query: Sequence[float], k: int = DENSE_K) ->
 
         for b in batches:
             ids, scores = best_of_batch(b.column(0), b.column(1), q, k)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], ["chunk_id", "score"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(scores, pa.float64())], ["chunk_id", "score"])
 
-    own = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") == len(q))).select(F.col("chunk_id").cast("long").alias("chunk_id"), "embedding")
-    return own.mapInArrow(run, "chunk_id long, score double").orderBy(F.desc("score"), "chunk_id").limit(k)
+    own = vectors.where(F.col("embedding").isNotNull() & (F.size("embedding") == len(q))).select("chunk_id", "embedding")
+    kind = own.schema["chunk_id"].dataType.simpleString()
+    return own.mapInArrow(run, f"chunk_id {kind}, score double").orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
-def best_of_batch(ids: pa.Array, vectors: pa.ListArray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best_of_batch(ids: pa.Array, vectors: pa.ListArray, q: np.ndarray, k: int) -> tuple[pa.Array, np.ndarray]:
     x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), len(q))
     size = np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(q @ q)
     score = np.divide(x @ q, size, out=np.zeros(len(x)), where=size > 0)
-    keys = ids.to_numpy(zero_copy_only=False)
-    best = np.lexsort((keys, -score))[:k]
-    return keys[best], score[best]
+    order = np.empty(len(ids), dtype=np.int64)
+    order[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    best = np.lexsort((order, -score))[:k]
+    return ids.take(pa.array(best)), score[best]
 
 
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, digits: int | None = None, least: int = LEAST, most: int = MOST) -> DataFrame:

@@ -14,10 +14,10 @@ from tessera.functions.text import phrases, tokens
 LEXICAL_K, K1, B, LEAST_IDF = 50, 1.2, 0.75, 1e-6
 
 
-def tokenised(chunks: DataFrame, text: str = "content") -> DataFrame:
-    """chunk_id, terms, n_tokens of every chunk, empty ones too."""
+def tokenised(chunks: DataFrame, text: str = "content", keep: bool = False) -> DataFrame:
+    """chunk_id (or, with ``keep``, all columns), terms, n_tokens of every chunk, empty ones too."""
     terms = F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))
-    return chunks.select("chunk_id", terms.alias("terms")).withColumn("n_tokens", F.size("terms"))
+    return chunks.select("*" if keep else "chunk_id", terms.alias("terms")).withColumn("n_tokens", F.size("terms"))
 
 
 def postings(tokenised_chunks: DataFrame) -> DataFrame:

@@ -11,6 +11,11 @@ def content_hash(content) -> F.Column:
     return F.sha2(content, 256)
 
 
+def file_id(path) -> F.Column:
+    """128 bits of a path, in hex."""
+    return F.md5(path)
+
+
 def diff(scan: DataFrame, files: DataFrame) -> DataFrame:
     """path and status (new, changed, unchanged, deleted) from (path, content_hash) of both sides."""
     now = scan.select("path", F.col("content_hash").alias("now")).dropDuplicates(["path"])

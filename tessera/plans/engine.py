@@ -19,6 +19,8 @@ from tessera.settings import Settings
 from tessera.sources.corpus import CorpusSource
 
 DEFAULT_TOP_N = 10
+#: Failures whose messages a status shows; all of them are counted.
+SHOWN_ERRORS = 1_000
 
 
 class AlreadyRunning(RuntimeError):
@@ -31,6 +33,7 @@ class Status:
     total: int = 0
     done: int = 0
     errors: list[str] = field(default_factory=list)
+    failed: int = 0
 
 
 class Index:
@@ -42,7 +45,7 @@ class Index:
         self.store = Snapshot(spark, settings.index_path(root))
         self.store.reconcile(embedder.model, embedder.dim)
         self._lock, self._running, self._status = threading.Lock(), False, Status()
-        self._group, self._cancelled = "", False
+        self._group, self._cancelled, self._cut = "", False, None
 
     def running(self) -> bool:
         with self._lock:
@@ -51,7 +54,9 @@ class Index:
     def status(self) -> Status:
         with self._lock:
             s = self._status
-            return Status(s.phase, s.total, s.done, list(s.errors))
+            # While files are cut, those that tasks have finished count.
+            done = min(s.total, s.done + self._cut.value) if self._cut is not None else s.done
+            return Status(s.phase, s.total, done, list(s.errors), s.failed)
 
     def _set(self, **values) -> None:
         with self._lock:
@@ -70,18 +75,19 @@ class Index:
         self._cancelled = True
         self.spark.sparkContext.cancelJobGroup(self._group)
 
-    def run(self, documents: DataFrame | None = None) -> None:
-        """Index after begin(): everything new or changed is chunked and embedded, what is gone is pruned."""
+    def run(self, documents: DataFrame | None = None, prune: bool = True) -> None:
+        """Index after begin(): everything new or changed is chunked and embedded, and with ``prune`` what is not among ``documents`` goes."""
         try:
             self.spark.sparkContext.setJobGroup(self._group, f"index {self.root}", interruptOnCancel=True)
-            self._index(documents if documents is not None else self._scan())
+            self._index(documents if documents is not None else self._scan(), prune)
         except Exception as e:
             with self._lock:
                 self._status.errors.append(str(e)[:500])
+                self._status.failed += 1
             raise
         finally:
             with self._lock:
-                self._running, self._status.phase = False, "done"
+                self._running, self._cut, self._status.phase = False, None, "done"
 
     def _scan(self) -> DataFrame:
         if not os.path.isdir(self.root):
@@ -89,47 +95,50 @@ class Index:
         self.spark.dataSource.register(CorpusSource)
         return self.spark.read.format("corpus").load(os.path.realpath(self.root))
 
-    def _index(self, found: DataFrame) -> None:
+    def _index(self, found: DataFrame, prune: bool) -> None:
         ship(self.spark)
-        scan = found.withColumn("content_hash", sync.content_hash(F.col("content"))).withColumn("file_id", F.xxhash64("path"))
-        scan = materialize(scan.dropDuplicates(["path"]), "scan")
-        files, chunks, postings = (self.store.read(t) for t in ("files", "chunks", "postings"))
-        unreadable = [r.error for r in scan.where("error IS NOT NULL").select("error").limit(100).collect()]  # shown, not stored
+        scan = found.withColumn("content_hash", sync.content_hash(F.col("content")))
+        # Of several rows of a path, the one changed last counts, then the one of the greatest hash.
+        others = [c for c in ("mod_time", "content_hash", "size", "content", "error") if c in scan.columns]
+        scan = scan.groupBy("path").agg(F.max(F.struct(*others)).alias("x")).select("path", "x.*", sync.file_id(F.col("path")).alias("file_id"))
+        scan = materialize(scan, "scan")
+        files = self.store.read("files")
+        total, unread = scan.agg(F.count("*"), F.count("error")).first()
+        shown = [r.error for r in scan.where("error IS NOT NULL").select("error").limit(SHOWN_ERRORS).collect()]
         readable = scan.where("error IS NULL")
-        status = materialize(sync.diff(readable.select("path", "content_hash"), files.select("path", "content_hash")), "diff")
-        self._set(phase="indexing", total=scan.count(), errors=unreadable)
-        todo = materialize(readable.join(status.where("status IN ('new', 'changed')").select("path"), "path", "left_semi"), "changed")
+        known = files.select(F.col("path").alias("_path"), F.col("content_hash").alias("_hash"))
+        todo = materialize(readable.join(known, (F.col("path") == F.col("_path")) & (F.col("content_hash") == F.col("_hash")), "left_anti"), "changed")
+        self._set(phase="indexing", total=total, failed=unread, errors=shown, done=total - unread - todo.count())
 
-        cut = materialize(code_chunks.code_chunks(todo, "file_id", self.max_lines, self.overlap), "chunked")
+        self._cut = self.spark.sparkContext.accumulator(0)
+        cut = materialize(code_chunks.code_chunks(todo, "file_id", self.max_lines, self.overlap, self._cut), "chunked")
         failed = cut.where("error IS NOT NULL").select("file_id", "error")
-        errors = [r.error for r in failed.limit(100).collect()]
+        n_failed = failed.count()
+        shown += [r.error for r in failed.limit(SHOWN_ERRORS - len(shown)).collect()]
         good = todo.join(failed.select("file_id"), "file_id", "left_anti")
-        rows = cut.where("error IS NULL").withColumn("chunk_id", F.xxhash64("file_id", "ordinal"))
-        counted = lexical.tokenised(rows)
-        rows = rows.join(counted.select("chunk_id", "n_tokens"), "chunk_id")
+        rows = lexical.tokenised(cut.where("error IS NULL").withColumn("chunk_id", F.concat_ws(":", "file_id", "ordinal")), keep=True)
         of_settings = isinstance(self.embedder, embed.HashingEmbedder) or self.settings.embed_provider != "hashing"
         new_chunks = materialize(embed.embed_chunks(rows, self.settings if of_settings and self.embedder.dim == self.settings.embed_dim else self.embedder), "embedded")
         wrong = new_chunks.where(F.size("embedding") != self.embedder.dim).count()
         if wrong:
             raise ValueError(f"{wrong} vectors don't have {self.embedder.dim} dimensions")
-        self._set(done=scan.count() - len(unreadable) - len(errors), errors=[*unreadable, *errors], phase="pruning")
+        self._cut = None
+        self._set(done=total - unread - n_failed, failed=unread + n_failed, errors=shown, phase="pruning")
         if self._cancelled:
             raise RuntimeError("cancelled")
 
-        # A path that was read in an earlier run but can't be read now keeps what it has.
-        gone = sync.deleted_paths(scan.select("path"), files).join(files.select("path", "file_id"), "path")
-        replaced = materialize(good.select("file_id").union(gone.select("file_id")), "replaced")
+        replaced = good.select("file_id")
+        if prune:  # a path that was read in an earlier run but can't be read now keeps what it has
+            replaced = replaced.union(sync.deleted_paths(scan.select("path"), files).select(sync.file_id(F.col("path")).alias("file_id")))
+        replaced = materialize(replaced, "replaced")
         fresh = good.select("file_id", "path", "mod_time", "size", "content_hash").join(sync.chunk_counts(good, new_chunks), "file_id")
         broken = todo.join(failed.select("file_id"), "file_id", "left_semi").join(files.select("path"), "path", "left_anti")
         broken = broken.select("file_id", "path", "mod_time", "size", F.lit("").alias("content_hash"), F.lit(0).alias("chunk_count"))
-        new_files = fresh.unionByName(broken)
-        dropped = chunks.join(replaced, "file_id", "left_semi").select("chunk_id")
-        kept = postings.join(dropped, "chunk_id", "left_anti").select("term", "chunk_id", "pos")
-        self.store.commit(
-            files=sync.replace_rows(files, replaced, new_files.select(files.columns)),
-            chunks=sync.replace_rows(chunks, replaced, new_chunks.select(chunks.columns)),
-            postings=kept.unionByName(lexical.postings(counted)),
-        )
+        new_files = materialize(fresh.unionByName(broken), "new-files")
+        if replaced.isEmpty() and new_files.isEmpty():
+            self.store.commit()
+        else:
+            self.store.commit(gone=replaced, files=new_files, chunks=new_chunks, postings=lexical.postings(new_chunks.select("chunk_id", "file_id", "terms")))
 
 
 class Engine:
@@ -174,7 +183,7 @@ class Engine:
     def search(self, path: str, query: str, top_n: int = DEFAULT_TOP_N, tuning: hybrid.Tuning = hybrid.Tuning()) -> DataFrame:
         store = self.handle(path).store
         vector = self.embedder.embed([query])[0] if query else []
-        return hybrid.search(store.read("chunks"), store.read("files"), store.read("postings"), query, vector, top_n, tuning)
+        return hybrid.search(store.read("chunks"), store.read("files"), store.read("postings"), query, vector, top_n, tuning, vectors=store.vectors())
 
     def search_code(self, path: str, query: str, top_n: int = DEFAULT_TOP_N) -> dict:
         if not query:
@@ -199,7 +208,7 @@ class Engine:
     def status(self, path: str) -> dict:
         index = self.handle(path)
         s = index.status()
-        return {"root": index.root, "phase": s.phase, "running": index.running(), "total": s.total, "done": s.done, **({"errors": s.errors} if s.errors else {})}
+        return {"root": index.root, "phase": s.phase, "running": index.running(), "total": s.total, "done": s.done, **({"errors": s.errors} if s.errors else {}), **({"failed": s.failed} if s.failed > len(s.errors) else {})}
 
     def cancel(self, path: str) -> None:
         self.handle(path).cancel()

@@ -28,11 +28,11 @@ def hydrate(best: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
     return best.join(text, "chunk_id").join(files.select("file_id", "path"), "file_id").select("chunk_id", "path", "start_line", "end_line", "symbol", "content", "score")
 
 
-def search(chunks: DataFrame, files: DataFrame, postings: DataFrame, query: str, vector: Sequence[float], top_n: int = 10, tuning: Tuning = Tuning(), fast: bool = True) -> DataFrame:
+def search(chunks: DataFrame, files: DataFrame, postings: DataFrame, query: str, vector: Sequence[float], top_n: int = 10, tuning: Tuning = Tuning(), fast: bool = True, vectors: DataFrame | None = None) -> DataFrame:
     """The ``top_n`` best chunks; only ids, vectors and counts are read until those are known."""
     if not query or top_n <= 0:
         return hydrate(chunks.select("chunk_id", F.lit(0.0).alias("score")).where("false"), chunks, files)
-    vectors = chunks.select("chunk_id", "embedding")
+    vectors = chunks.select("chunk_id", "embedding") if vectors is None else vectors
     near = (dense.fast_top_k if fast else dense.top_k)(vectors, vector, tuning.dense_k)
     words = lexical.search(postings, chunks.select("chunk_id", "n_tokens"), query, tuning.lexical_k)
     best = fusion.fuse(near, words, tuning.rrf_k).limit(top_n)

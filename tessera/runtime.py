@@ -48,7 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
     return (given or _OWN_DIR).rstrip("/")
 
 
-def _hadoop(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path for it."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
@@ -69,7 +70,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    fs, target = _hadoop(spark, path)
+    fs, target = file_system(spark, path)
     fs.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
@@ -78,5 +79,5 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` made and nothing reads any more."""
-    fs, target = _hadoop(df.sparkSession, df._tessera_path)
+    fs, target = file_system(df.sparkSession, df._tessera_path)
     fs.delete(target, True)

@@ -12,17 +12,14 @@ from tessera.plans.engine import Engine
 def index_stream(engine: Engine, name: str, documents: DataFrame, checkpoint: str) -> StreamingQuery:
     """Upsert a stream of (path, content) into the index ``name``; rows seen before and unchanged cost a hash.
 
-    A batch holds what has changed, not the whole corpus, so nothing is pruned: the paths
-    that the index has and the batch hasn't are added to the scan as they are.
+    A batch holds what has changed, not the whole corpus, so nothing is pruned, and what is written is as large as the batch.
     """
 
     def upsert(batch: DataFrame, _epoch: int) -> None:
         index = engine.handle(name)
-        got = batch.select("path", F.col("content").cast("binary").alias("content")).dropDuplicates(["path"])
+        got = batch.select("path", F.col("content").cast("binary").alias("content"))
         got = got.select("path", F.octet_length("content").cast("long").alias("size"), F.lit(0).cast("long").alias("mod_time"), "content", F.lit(None).cast("string").alias("error"))
-        kept = index.store.read("files").join(got, "path", "left_anti")
-        kept = kept.select("path", "size", "mod_time", F.lit(None).cast("binary").alias("content"), F.lit("not in this batch").alias("error"))
         index.begin()
-        index.run(got.unionByName(kept))
+        index.run(got, prune=False)
 
     return documents.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

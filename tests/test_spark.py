@@ -16,7 +16,7 @@ from tessera.operators.embed import Embedder
 from tessera.operators.line_chunks import line_windows
 from tessera.plans.engine import Engine
 from tessera.plans.hybrid import Tuning
-from tessera.plans.snapshot import ModelMismatch, Snapshot
+from tessera.plans.snapshot import ConcurrentCommit, ModelMismatch, Snapshot
 from tessera.settings import Settings
 from tessera.streaming.upsert import index_stream
 from tests.test_core import tree
@@ -184,7 +184,7 @@ def test_snapshot_meta(spark, tmp_path):
     with pytest.raises(ValueError):
         s.reconcile("", 3)
     s.reconcile("m", 3, "1")
-    row = [(1, "a", 0, 1, "hash", 1)]
+    row = [("1", "a", 0, 1, "hash", 1)]
     s.commit(files=spark.createDataFrame(row, s.read("files").schema))
     s.reconcile("m", 3, "1")
     assert s.read("files").first().content_hash == "hash"
@@ -208,10 +208,79 @@ def test_streaming(spark, engine, tmp_path):
             put(rows, "append")
         stream = spark.readStream.schema("path string, content string").json(source)
         index_stream(engine, "stream", stream, str(tmp_path / "ck")).awaitTermination()
+        status = engine.status("stream")
+        assert status["total"] == status["done"] == 2 and "errors" not in status
     assert paths(engine, "stream") == ["a.txt", "b.txt", "c.txt"]
     assert engine.search_code("stream", "gamma")["results"][0]["path"] == "b.txt" and "beta" not in str(engine.search_code("stream", "beta")["results"])
 
 
+def size_of(folder):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+
+
+def test_segments_merge_and_a_change_writes_little(spark, tmp_path):
+    """Files replaced and removed over many commits, against a dict; bytes of a one-file commit do not grow with the index."""
+    s = Snapshot(spark, str(tmp_path / "s"))
+    s.reconcile("m", 1, "1")
+    want, rng = {}, np.random.default_rng(1)
+    cost = []
+    for step in range(20):
+        n = 2000 if step == 9 else 1
+        changed = {f"f{int(i)}" for i in rng.integers(0, 40 if n == 1 else 4000, n)}
+        removed = {f"f{int(i)}" for i in rng.integers(0, 40, 2)} - changed
+        before = size_of(s.folder)
+        files = spark.createDataFrame([(k, k, 0, 1, f"h{step}", 1) for k in sorted(changed)], s.read("files").schema).coalesce(1)
+        postings = spark.createDataFrame([(f"t{step}", k + ":0", k, 0) for k in sorted(changed)], s.read("postings").schema).coalesce(1)
+        s.commit(gone=spark.createDataFrame([(k,) for k in sorted(changed | removed)], "file_id string").coalesce(1), files=files, postings=postings)
+        cost.append(size_of(s.folder) - before)
+        for k in changed | removed:
+            want.pop(k, None)
+        want |= {k: step for k in changed}
+        if step % 6 == 5 or step > 17:
+            assert {r.file_id: r.content_hash for r in s.read("files").collect()} == {k: f"h{v}" for k, v in want.items()}
+            assert sorted((r.chunk_id, r.term) for r in s.read("postings").collect()) == sorted((k + ":0", f"t{v}") for k, v in want.items())
+    assert len(s._now()["segments"]) <= 2 + 7 and s.version() == 21
+    assert cost[10] < 3 * max(cost[:4]) < cost[9]
+    again = Snapshot(spark, s.folder)
+    again.reconcile("m", 1, "2")
+    assert {r.content_hash for r in again.read("files").collect()} == {""}
+    again.commit(files=spark.createDataFrame([("new", "new", 0, 1, "h", 1)], s.read("files").schema))
+    assert [r.content_hash for r in again.read("files").where("file_id = 'new'").collect()] == ["h"]
+
+
+def test_two_commits_at_once(spark, tmp_path):
+    s = Snapshot(spark, str(tmp_path / "s"))
+    s.reconcile("m", 1, "1")
+    with pytest.raises(ConcurrentCommit):
+        s._publish(s._now(), s.version())
+    assert s.version() == 1 and not [x for x in os.listdir(s.folder) if x.endswith(".part")]
+
+
+def test_every_failure_counts(spark, engine):
+    """150 files that can't be read, and two rows of one path, of which the later counts."""
+    rows = [(f"bad{i}.txt", 1, 0, None, f"bad{i}.txt: no") for i in range(150)] + [(f"a{i}.txt", 5, 0, b"alpha", None) for i in range(10)] + [("a3.txt", 4, 9, b"beta", None)]
+    docs = spark.createDataFrame(rows, "path string, size long, mod_time long, content binary, error string")
+    engine.index("/many", documents=docs)
+    status = engine.status("/many")
+    assert (status["total"], status["done"], len(status["errors"])) == (160, 10, 150)
+    assert {r.content for r in engine.handle("/many").store.read("chunks").collect()} == {"alpha", "beta"}
+    assert engine.search_code("/many", "beta")["results"][0]["path"] == "a3.txt"
+
+
+def test_progress_while_files_are_cut(spark, engine, tmp_path, monkeypatch):
+    from tessera.plans import engine as module
+
+    seen = []
+    real = module.embed.embed_chunks
+    monkeypatch.setattr(module.embed, "embed_chunks", lambda *a: (seen.append(engine.status(root)["done"]), real(*a))[1])
+    root = str(tmp_path / "src")
+    tree(root, {f"f{i}.py": f"x = {i}\n" for i in range(12)})
+    engine.index(root)
+    tree(root, {"f0.py": "y = 1\n", "g.py": "z = 1\n"})
+    engine.index(root)
+    assert seen == [12, 13] and engine.status(root)["done"] == 13
+
+
 def _cases():
     from tessera.queries import ORACLES
 

@@ -10,14 +10,14 @@ DataFrame functions only. Lines are compared without leading and trailing spaces
 than ``min_chars`` are never boilerplate.
 
 Edge cases: null texts stay null and have no lines; a null source is a site of its own; rows
-with null ids are never the document that keeps a line unless all are null; repeated rows get
-the same result each; an empty table gives an empty result; other columns pass through, and
-may have any names but those that start with ``_ld_``.
+with null ids are never the document that keeps a line unless all are null, and then all keep it; repeated rows get
+the same result each, so all rows of the id that keeps a line keep it; an empty table gives an empty result; other columns
+pass through as they are, and may have any names but those that start with ``_ld_``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.runtime import materialize, table
@@ -27,12 +27,18 @@ MIN_SITES, MIN_CHARS, LG_K = 5, 20, 12
 BAND = 3 * 1.04 / 2 ** (LG_K / 2)
 
 
+def _print(line: Column) -> Column:
+    """128 bits of a line."""
+    return F.struct(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("second"), line).alias("h2"))
+
+
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     line = F.trim("_ld_line")
+    site = F.when(F.col("source").isNull(), "?").otherwise(F.concat(F.lit("="), "source"))
     return (
-        docs.select("doc_id", "_ld_key", F.coalesce("source", F.lit("")).alias("_ld_site"), F.explode(F.split("text", "\n")).alias("_ld_line"))
+        docs.select("doc_id", "_ld_key", site.alias("_ld_site"), F.explode_outer(F.split("text", "\n")).alias("_ld_line"))
         .where(F.length(line) >= min_chars)
-        .select("doc_id", "_ld_key", "_ld_site", F.xxhash64(line).alias("_ld_hash"))
+        .select("doc_id", "_ld_key", "_ld_site", _print(line).alias("_ld_hash"))
     )
 
 
@@ -48,26 +54,29 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return materialize(wide.where("_ld_sure").select("_ld_hash", "_ld_first").unionByName(near.join(exact.select("_ld_hash"), "_ld_hash", "left_semi")), "line-boilerplate")
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``; adds n_lines and n_removed."""
-    keyed = docs.withColumn("_ld_key", F.xxhash64(F.lit(1), "doc_id", F.lit(2), "text", F.lit(3)))
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS, counts: tuple[str, str] | None = None) -> DataFrame:
+    """``docs`` with boilerplate lines taken out of ``text``; with ``counts``, columns of those names for lines and lines removed."""
+    keyed = docs.withColumn("_ld_key", F.xxhash64(F.lit(1), "text", F.lit(2)))  # with doc_id, what tells rows apart
     lines = _lines(keyed, min_chars)
     drop = lines.join(boilerplate(lines, min_sites), "_ld_hash").where(~F.col("doc_id").eqNullSafe(F.col("_ld_first")))
-    drop = drop.groupBy("_ld_key").agg(F.collect_set("_ld_hash").alias("_ld_drop"))
+    drop = drop.groupBy(F.col("doc_id").alias("_ld_id"), F.col("_ld_key").alias("_ld_own")).agg(F.collect_set("_ld_hash").alias("_ld_drop"))
     split = F.split("text", "\n")
-    kept = F.filter(split, lambda x: ~F.array_contains("_ld_drop", F.xxhash64(F.trim(x))) | (F.length(F.trim(x)) < min_chars))
-    out = keyed.join(drop, "_ld_key", "left").withColumn("_ld_kept", F.when(F.col("_ld_drop").isNotNull(), kept))
-    n_lines = F.coalesce(F.size(F.when(F.col("text").isNotNull(), split)), F.lit(0))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long")
-    n_removed = F.when(F.col("_ld_kept").isNull(), 0).otherwise(F.size(split) - F.size("_ld_kept")).cast("long")
+    kept = F.filter(split, lambda x: ~F.array_contains("_ld_drop", _print(F.trim(x))) | (F.length(F.trim(x)) < min_chars))
+    out = keyed.join(drop, keyed["doc_id"].eqNullSafe(F.col("_ld_id")) & (F.col("_ld_key") == F.col("_ld_own")), "left").withColumn("_ld_kept", F.when(F.col("_ld_drop").isNotNull(), kept))
+    own = [F.col(f"`{c}`") for c in docs.columns]
     text = F.when(F.col("_ld_kept").isNull(), F.col("text")).otherwise(F.array_join("_ld_kept", "\n"))
-    return out.withColumns({"n_lines": n_lines, "n_removed": n_removed}).withColumn("text", text).drop("_ld_key", "_ld_drop", "_ld_kept")
+    own[docs.columns.index("text")] = text.alias("text")
+    if counts:
+        n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long")
+        n_removed = F.when(F.col("_ld_kept").isNull(), 0).otherwise(F.size(split) - F.size("_ld_kept")).cast("long")
+        own += [n_lines.alias(counts[0]), n_removed.alias(counts[1])]
+    return out.select(own)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line counts and the digest of the remaining text of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return dedup_lines(docs, counts=("n_lines", "n_removed")).select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def clean_sql(docs: str, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> str:
@@ -79,7 +88,7 @@ FROM (
   FROM (SELECT doc_id, text AS whole, source, coalesce(len(string_split(text, chr(10))), 0) AS n, unnest(coalesce(string_split(text, chr(10)), [NULL])) AS line, unnest(range(1, greatest(coalesce(len(string_split(text, chr(10))), 0), 1) + 1)) AS i FROM {docs}) l
   LEFT JOIN (
     SELECT trim(line) AS t, min(doc_id) AS first_id
-    FROM (SELECT doc_id, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line FROM {docs})
+    FROM (SELECT doc_id, CASE WHEN source IS NULL THEN '?' ELSE '=' || source END AS site, unnest(string_split(text, chr(10))) AS line FROM {docs})
     WHERE length(trim(line)) >= {min_chars} GROUP BY 1 HAVING count(DISTINCT site) >= {min_sites}
   ) b ON b.t = trim(l.line)
 ) GROUP BY doc_id"""

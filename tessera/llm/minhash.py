@@ -115,27 +115,40 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), "minhash-texts")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of ``pairs`` (a, b), those whose full shingle sets have the similarity asked for."""
+def _confirmed(pairs: DataFrame, known: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of ``pairs`` (a, b), those whose full shingle sets have the similarity asked for.
+
+    Pairs of one b, a bucket's least document, are compared together: those of small groups share a bin, those of a large one are dealt
+    over bins of its own, and b's text goes to each bin once.
+    """
+    unit = known.select(F.col("doc_id").alias("a"), (1 + F.floor(F.col("n_shingles") / UNIT)).alias("unit"))
+    sized = pairs.join(unit, "a")
+    groups = sized.groupBy("b").agg(F.sum("unit").alias("units"))
+    dealt = sized.join(groups, "b")
+    n_bins = max(1, -(-(groups.where(F.col("units") <= BLOCK).agg(F.coalesce(F.sum("units"), F.lit(0))).first()[0]) // BLOCK))
+    own = F.concat_ws(":", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("units") / BLOCK)))
+    dealt = materialize(dealt.select("a", "b", F.when(F.col("units") <= BLOCK, F.pmod(F.xxhash64("b"), F.lit(n_bins)).cast("string")).otherwise(own).alias("bin")), "minhash-dealt")
     texts = _texts(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
+    members = dealt.join(texts.withColumnRenamed("doc_id", "a"), "a").select("bin", "b", "a", "text", F.lit(False).alias("hub"))
+    hubs = dealt.select("bin", "b").distinct().join(texts.withColumnRenamed("doc_id", "b"), "b").select("bin", "b", F.col("b").alias("a"), "text", F.lit(True).alias("hub"))
 
-    def run(batches):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         from tessera.llm.shingles import shingle_set
 
-        last: tuple = (None, None)  # the smaller ids are hubs, and their pairs come together
-        for x in batches:
-            keep = []
-            for a, b, ta, tb in zip(*(x.column(c) for c in ("a", "b", "ta", "tb")), strict=True):
-                key = (b.as_py(), tb.as_py())
-                if last[0] != key:
-                    last = (key, shingle_set(key[1], k))
-                p, q = shingle_set(ta.as_py(), k), last[1]
+        hubs, rest = pdf[pdf["hub"]].groupby("b")["text"], pdf[~pdf["hub"]].sort_values("b")
+        last, hub, out = None, [], []
+        for a, b, text in zip(rest["a"], rest["b"], rest["text"], strict=True):
+            if b != last:  # an id may have several texts
+                last, hub = b, [shingle_set(t, k) for t in hubs.get_group(b)]
+            p = shingle_set(text, k)
+            for q in hub:
                 both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
-            yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                if both > 0 and 100 * both >= percent * (len(p) + len(q) - both):
+                    out.append((a, b))
+                    break
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return members.unionByName(hubs).groupBy("bin").applyInPandas(run, "a long, b long").distinct()
 
 
 def _links_across(open_rows: DataFrame, k: int, percent: int) -> DataFrame:
@@ -203,7 +216,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     members = materialize(rows.join(shared, "bucket"), "minhash-members")
     stars = members.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
     stars = materialize(_near_enough(stars, reps.select("doc_id", "n_shingles", "sketch"), threshold), "minhash-stars")
-    links = materialize(_confirmed(stars, docs, k, percent), "minhash-links")
+    links = materialize(_confirmed(stars, reps.select("doc_id", "n_shingles"), docs, k, percent), "minhash-links")
 
     # An id with several texts is a node of all their classes.
     own = materialize(full.join(classes, ["n_shingles", "p1", "p2"]).select("doc_id", "rep").distinct(), "minhash-own")

@@ -228,12 +228,17 @@ def test_line_dedup(spark):
         lines.append("short")
         rows.append((i, "\n".join(lines), None if i % 17 == 0 else f"s{i % 3 if i < 8 else i % 20}"))
     rows += [(500, None, "s1"), (501, "", "s1"), (None, common[0], "s2"), (502, common[0] + "\n" + common[0], "s3")]
-    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(documents(spark, rows, extra=True)).collect()), key=repr)
+    rows += [rows[0], (0, "another text of the same id\n" + common[0], "s4"), (503, (common[0] + "\n" + "x" * 30 + "\n") * 3_000, "")]
+    docs = documents(spark, rows, extra=True).withColumns({"n_lines": F.lit(42), "n_removed": F.lit("own")})
+    left = line_dedup.dedup_lines(docs)
+    assert left.columns == docs.columns and {(r.n_lines, r.n_removed, r.key) for r in left.collect()} == {(42, "own", 1)}
+    got = sorted(((r.doc_id, r.text, r.a, r.b) for r in line_dedup.dedup_lines(docs, counts=("a", "b")).collect()), key=repr)
+    assert len(got) == len(rows)
     sites, first = defaultdict(set), {}
     for i, t, s in rows:
         for line in (t or "").split("\n"):
             if len(line.strip(" ")) >= line_dedup.MIN_CHARS:
-                sites[line.strip(" ")].add(s or "")
+                sites[line.strip(" ")].add(s)
                 if i is not None:
                     first[line.strip(" ")] = min(i, first.get(line.strip(" "), i))
     bad = {x for x, s in sites.items() if len(s) >= line_dedup.MIN_SITES}

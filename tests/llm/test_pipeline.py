@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import bpe, line_dedup, toxicity
@@ -72,6 +73,9 @@ def test_stages_return_the_columns_of_documents(spark, tables):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, d).dtypes == docs.dtypes
+        clashing = docs.withColumns({c: F.lit(7) for c in ("n_lines", "n_removed", "key", "size", "bucket", "component", "tokens", "score", "part", "seed", "n")})
+        left = stage(spark, clashing, d)
+        assert left.dtypes == clashing.dtypes and {tuple(r) for r in left.select(*clashing.columns[len(docs.columns) :]).distinct().collect()} == {(7,) * 11}
         assert stage(spark, docs.where("false"), d).count() == 0
     lines = {r.doc_id: r for r in corpus_pipeline.STAGES[1][1](spark, docs, d).collect()}
     changed = [r for r in lines.values() if r.text is not None and r.doc_id in range(1003, 1060, 2)]

@@ -6,6 +6,7 @@ import os
 import sqlite3
 import threading
 
+import numpy as np
 import pytest
 
 from tessera.cli import main, respond
@@ -134,6 +135,44 @@ def test_embedders():
         wanted_model_files(files, "none.onnx")
 
 
+def field(number, value):
+    """One field of a protobuf message: a number, or bytes."""
+    whole = lambda n: bytes([n & 127 | 128]) + whole(n >> 7) if n > 127 else bytes([n])
+    return whole(number << 3) + whole(value) if isinstance(value, int) else whole(number << 3 | 2) + whole(len(value)) + value
+
+
+def lookup_model(weights):
+    """An ONNX model whose hidden states are rows of ``weights`` by token id."""
+    def tensor(name, kind, *dims):
+        shape = b"".join(field(1, field(2, d.encode()) if isinstance(d, str) else field(1, d)) for d in dims)
+        return field(1, name) + field(2, field(1, field(1, kind) + field(2, shape)))
+
+    node = field(1, b"weights") + field(1, b"input_ids") + field(2, b"hidden") + field(4, b"Gather")
+    values = field(1, weights.shape[0]) + field(1, weights.shape[1]) + field(2, 1) + field(8, b"weights") + field(9, weights.astype("<f4").tobytes())
+    graph = field(1, node) + field(2, b"g") + field(5, values)
+    graph += b"".join(field(11, tensor(x, 7, "batch", "tokens")) for x in (b"input_ids", b"attention_mask")) + field(12, tensor(b"hidden", 1, "batch", "tokens", weights.shape[1]))
+    return field(1, 8) + field(7, graph) + field(8, field(1, b"") + field(2, 13))
+
+
+def test_onnx_embedder(tmp_path):
+    """A model of looked-up rows: means over a text's own tokens, without padding, of unit length; long texts are cut."""
+    pytest.importorskip("onnxruntime")
+    tokenizers = pytest.importorskip("tokenizers")
+    folder = tmp_path / "some" / "model"
+    os.makedirs(folder / "onnx")
+    words = ["[UNK]", "red", "green", "blue"]
+    t = tokenizers.Tokenizer(tokenizers.models.WordLevel({w: i for i, w in enumerate(words)}, unk_token="[UNK]"))
+    t.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    t.save(str(folder / "tokenizer.json"))
+    weights = np.array([[0, 0, 0.5], [3, 0, 0], [0, 4, 0], [1, 1, 1]])
+    (folder / "onnx" / "model.onnx").write_bytes(lookup_model(weights))
+    e = create(Settings(embed_provider="onnx", embed_model="some/model", model_dir=str(tmp_path)))
+    unit = lambda rows: np.mean([weights[i] for i in rows], axis=0) / np.linalg.norm(np.mean([weights[i] for i in rows], axis=0))
+    got = e.embed(["red green", "blue", "red red red what", "red " * 300 + "green " * 300])
+    assert e.dim == 3 and np.allclose(got[:3], [unit([1, 2]), unit([3]), unit([1, 1, 1, 0])], atol=1e-6)
+    assert np.allclose(got[3], e.embed([("red " * 300)[:1024]])[0])
+
+
 def test_query_phrases():
     assert phrases("parse_config(x) Parse café _ ") == [["parse", "config"], ["x"], ["parse"], ["caf"]]
     assert fold_text("ÉTÉ e\u0301 ß ñ") == "ete e ß n"

@@ -28,8 +28,8 @@ from tessera.runtime import materialize, table
 OVERHEAD = 16
 #: Sizes up to this many (about 60 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_SIZES = 500_000
-#: Rows that one slot-numbering task takes, about.
-SLOT_BLOCK = 2048
+#: Rows of a shard that one slot-numbering task takes, and groups of a size that one ranking task takes, about.
+SLOT_BLOCK, RANK_BLOCK = 2048, 256
 
 
 class CapacityTree:
@@ -169,7 +169,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
     sizes = spark.createDataFrame(placed, "bytes long, alike long, bins array<int>, ends array<long>")
     sized = groups.join(F.broadcast(sizes) if len(placed) <= BROADCAST_SIZES else sizes, "bytes")
     whole = sized.where(F.size("bins") == 1).select("h1", "h2", F.get("bins", F.lit(0)).alias("shard"))
-    dealt = _in_blocks(sized.where(F.size("bins") > 1), "bytes", F.pmod("h1", F.ceil(F.col("alike") / SLOT_BLOCK)), ["h1", "h2"], "rank")
+    dealt = _in_blocks(sized.where(F.size("bins") > 1), "bytes", F.pmod("h1", F.ceil(F.col("alike") / RANK_BLOCK)), ["h1", "h2"], "rank")
     dealt = dealt.select("h1", "h2", F.get("bins", F.size(F.filter("ends", lambda e: e <= F.col("rank")))).alias("shard"))
     out = rows.join(whole.unionByName(dealt), ["h1", "h2"])
     n_blocks = max(1, -(-n_rows // (n_shards * SLOT_BLOCK)))

@@ -28,6 +28,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,11 +68,11 @@ def byte_symbols() -> list[str]:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary file."""
+    """Encoder and decoder of one vocabulary."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, source: str) -> None:
+        """``source`` is the file's JSON."""
+        spec = json.loads(source)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special = special
@@ -227,18 +228,33 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
+def codec_of(source: str) -> Codec:
+    return Codec(source)
+
+
+def read_vocabulary(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return codec_of(read_vocabulary(path))
+
+
+def _shared(spark: SparkSession, path: str) -> Broadcast:
+    """The vocabulary's JSON (a few MB, whatever the input), read on the driver, so that executors need no copy of the file."""
+    ship(spark)
+    return spark.sparkContext.broadcast(read_vocabulary(path))
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, ids (array of int), decoded_sha256 (of the ids' decoded text) of every row; ``vocabulary`` is a path on every executor."""
-    ship(docs.sparkSession)
+    """doc_id, ids (array of int), decoded_sha256 (of the ids' decoded text) of every row; ``vocabulary`` is a path on the driver."""
+    shared = _shared(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tessera.llm.bpe import codec
+        from tessera.llm.bpe import codec_of
 
-        c = codec(vocabulary)
+        c = codec_of(shared.value)
         for b in batches:
             packed = [c.encode(t.as_py()) for t in b.column(1)]
             back = pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in packed], pa.string())
@@ -250,12 +266,12 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, text of rows of doc_id, ids."""
-    ship(encoded.sparkSession)
+    shared = _shared(encoded.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tessera.llm.bpe import codec
+        from tessera.llm.bpe import codec_of
 
-        c = codec(vocabulary)
+        c = codec_of(shared.value)
         for b in batches:
             texts = [c.decode(np.array(x or [], dtype="<u4").tobytes()).decode() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -265,12 +281,12 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: every text encoded and decoded in one pass."""
-    ship(docs.sparkSession)
+    shared = _shared(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tessera.llm.bpe import codec
+        from tessera.llm.bpe import codec_of
 
-        c = codec(vocabulary)
+        c = codec_of(shared.value)
         for b in batches:
             n, ids, texts = [], [], []
             for t in b.column(1):

@@ -71,6 +71,15 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(pages.where("false")).count() == 0
 
 
+def test_url_repeated_rows_and_long_pages(spark):
+    """Each repeated row is judged; long urls and pages with very many links are read whole."""
+    far = "<p>" * 100_000 + '<a href="http://bad.com/x">' * 2_000
+    rows = [(1, "http://bad.com/en/1", None)] * 3 + [(2, "http://linker.io/" + "x" * 200_000, far), (None, "http://bad.com/en/1", ""), (1, "http://other.io/", None)]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert Counter((r.page_id, r.host, r.verdict) for r in got) == Counter([(1, "bad.com", "block")] * 3 + [(2, "linker.io", "block"), (None, "bad.com", "block"), (1, "other.io", "allow")])
+    assert max(len(r.path) for r in got) == 200_001
+
+
 def test_url_propagation(spark):
     link = lambda *hosts: "".join(f'<a href="https://{h}/x">' for h in hosts)
     rows = [("http://bad.com/en/1", link("worse.io")), ("http://hub.io/a", link("bad.com", "bad.com", "good.example.com")), ("http://far.io/", link("hub.io")), ("http://good.example.com/en/7", link("friend.io", "hub.io")), ("http://friend.io/", link("/x")), ("http://hub.io/b", None)]
@@ -296,6 +305,15 @@ def test_minhash_keeps_one_of_each_group(spark):
     assert minhash.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_minhash_of_an_id_with_several_texts(spark):
+    """Rows that share an id are one node: what links to either text is in its component; each row has its own set size."""
+    rng = random.Random(15)
+    a, b, c = (words(rng, 40, 5000) for _ in range(3))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*a, "x"])), (3, " ".join([*b, "y"])), (9, " ".join(c)), (9, " ".join(c)), (8, " ".join([*c, "z"]))]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(documents(spark, rows), 4).collect())
+    assert got == Counter([(5, 37, 3, False)] * 2 + [(7, 38, 3, False), (3, 38, 3, True)] + [(9, 37, 8, False)] * 2 + [(8, 38, 8, True)])
+
+
 # 6
 
 
@@ -495,3 +513,16 @@ def test_sharding(spark):
     assert max(load.values()) / (sum(load.values()) / 8) < 1.02
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sharding.shard_documents(documents(spark, rows).where("false")).count() == 0
+
+
+def test_sharding_of_ties_and_long_texts(spark):
+    """Many groups of one size, more than a ranking task takes, and a text larger than a shard, which has one to itself."""
+    rows = [(i, f"{i:06d}") for i in range(3000)] + [(5000, "long " * 40_000), (5001, "long " * 40_000), (5000, "long " * 40_000)]
+    got = sharding.shard_documents(documents(spark, rows), 5).collect()
+    load = Counter()
+    for r in got:
+        load[r.shard, r.size] += 1
+    long = {s for s, size in load if size > 1000}
+    assert len(long) == 1 and load[long.pop(), 200_016] == 3
+    assert sorted(n for (_, size), n in load.items() if size == 22) == [750] * 4
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(n for (t, _), n in load.items() if t == s))) for s in range(5))

@@ -81,3 +81,18 @@ def test_stages_return_the_columns_of_documents(spark, tables):
     changed = [r for r in lines.values() if r.text is not None and r.doc_id in range(1003, 1060, 2)]
     assert changed and all(r.n_chars == len(r.text) and not re.search("many different sites", r.text) for r in changed)
     assert np.unique([r.doc_id for r in lines.values()]).size == docs.count()
+
+
+def test_repeated_rows_and_long_texts(spark, tables, tmp_path):
+    """Rows that share an id stay or go together, and very long texts pass whole."""
+    d, rows, items = tables
+    long = " ".join(f"v{i}" for i in range(60_000))
+    more = [rows[1], rows[1], (9000, long, "en", "s1", len(long)), (9001, "x " + long, "en", "s2", 0), (9001, "x " + long, "en", "s2", 0), (None, None, None, None, None), (9002, " ".join([long, items[0][1]]), None, None, None)]
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, d)
+    left = [(r.doc_id, len(r.text or "")) for r in docs.where("doc_id >= 9000 OR doc_id IS NULL OR doc_id = 1").collect()]
+    assert sorted(left, key=repr) == sorted([(1, len(rows[1][1]))] * 3 + [(9000, len(long)), (None, 0)], key=repr)
+    encoded = {r.doc_id: r.n_tokens for r in corpus_pipeline.STAGES[-1][1](spark, docs, d).collect()}
+    assert encoded[9000] > 100_000 and encoded[None] == 0

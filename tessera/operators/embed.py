@@ -6,6 +6,9 @@ import hashlib
 import json
 import os
 import re
+import shutil
+import tempfile
+import urllib.parse
 import urllib.request
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
@@ -79,11 +82,13 @@ class OnnxEmbedder(Embedder):
     fails is retried cut to SHORT_RUNES.
     """
 
-    def __init__(self, model: str, model_dir: str, onnx_file: str) -> None:
+    def __init__(self, model: str, model_dir: str, onnx_file: str, host: str = "") -> None:
         import onnxruntime
         from tokenizers import Tokenizer
 
         folder = os.path.join(model_dir, *model.split("/"))
+        if host and not all(os.path.isfile(os.path.join(folder, x)) for x in ("tokenizer.json", onnx_file)):
+            fetch_model(model, folder, onnx_file, host)
         self.model = model
         self._tokenizer = Tokenizer.from_file(os.path.join(folder, "tokenizer.json"))
         self._session = onnxruntime.InferenceSession(os.path.join(folder, onnx_file))
@@ -125,11 +130,41 @@ def wanted_model_files(files: list[str], onnx_file: str) -> list[str]:
     return [f for f in files if f in (onnx_file, f"{onnx_file}_data", "1_Pooling/config.json") or root(f)]
 
 
+def fetch_model(model: str, folder: str, onnx_file: str, host: str) -> list[str]:
+    """Fetch what a model needs from a model hub into ``folder``; what is there already stays. Returns the files fetched.
+
+    A file appears under its name once it is whole, so a run that was broken off is taken up by the next.
+    """
+    def get(path: str):
+        return urllib.request.urlopen(f"{host.rstrip('/')}/{urllib.parse.quote(path)}", timeout=TIMEOUT_S)
+
+    with get(f"api/models/{model}") as response:
+        names = [x["rfilename"] for x in json.load(response).get("siblings", [])]
+    fetched = []
+    for name in wanted_model_files(names, onnx_file):
+        target = os.path.realpath(os.path.join(folder, *name.split("/")))
+        if not target.startswith(os.path.realpath(folder) + os.sep):
+            raise ValueError(f"{name} would lie outside of {folder}")
+        if os.path.isfile(target) and os.path.getsize(target):
+            continue
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        with get(f"{model}/resolve/main/{name}") as response, tempfile.NamedTemporaryFile(dir=os.path.dirname(target), suffix=".part", delete=False) as part:
+            try:
+                shutil.copyfileobj(response, part)
+                part.close()
+                os.replace(part.name, target)
+            except BaseException:
+                os.unlink(part.name)
+                raise
+        fetched.append(name)
+    return fetched
+
+
 def create(settings: Settings) -> Embedder:
     if settings.embed_provider == "hashing":
         return HashingEmbedder(settings.embed_dim)
     if settings.embed_provider == "onnx":
-        return OnnxEmbedder(settings.embed_model, settings.model_dir, settings.onnx_file)
+        return OnnxEmbedder(settings.embed_model, settings.model_dir, settings.onnx_file, settings.model_host)
     if settings.embed_provider == "ollama":
         return OllamaEmbedder(settings.ollama_host, settings.embed_model)
     raise ValueError(f"unknown embed provider {settings.embed_provider!r}")

@@ -20,6 +20,7 @@ class Settings:
     embed_dim: int = 256
     model_dir: str = ""
     onnx_file: str = "onnx/model.onnx"
+    model_host: str = "https://huggingface.co"
     ollama_host: str = "http://localhost:11434"
     index_concurrency: int = 0
     low_priority: bool = True
@@ -42,7 +43,7 @@ class Settings:
     def from_env(cls, env: dict[str, str] | None = None) -> Settings:
         env = os.environ if env is None else env
         given = {}
-        for name, kind in (("index_dir", str), ("embed_provider", str), ("embed_model", str), ("embed_dim", int), ("model_dir", str), ("onnx_file", str), ("ollama_host", str), ("index_concurrency", int), ("low_priority", bool)):
+        for name, kind in (("index_dir", str), ("embed_provider", str), ("embed_model", str), ("embed_dim", int), ("model_dir", str), ("onnx_file", str), ("model_host", str), ("ollama_host", str), ("index_concurrency", int), ("low_priority", bool)):
             raw = env.get(PREFIX + name.upper(), "")
             if not raw:
                 continue

@@ -12,7 +12,7 @@ import pytest
 from tessera.cli import main, respond
 from tessera.functions.text import fold_text, phrases
 from tessera.operators.code_chunks import Chunk, chunk_source, line_chunks, merge_small
-from tessera.operators.embed import HashingEmbedder, OllamaEmbedder, create, wanted_model_files, with_fallback
+from tessera.operators.embed import HashingEmbedder, OllamaEmbedder, create, fetch_model, wanted_model_files, with_fallback
 from tessera.operators.lexical import bm25_in_memory
 from tessera.settings import Settings
 from tessera.sources.corpus import extension, walk
@@ -173,6 +173,44 @@ def test_onnx_embedder(tmp_path):
     assert np.allclose(got[3], e.embed([("red " * 300)[:1024]])[0])
 
 
+class Hub(http.server.BaseHTTPRequestHandler):
+    files = {"onnx/model.onnx": b"weights", "onnx/other.onnx": b"no", "config.json": b"{}", "tokenizer.json": b"{1}", "weights.bin": b"no"}
+    asked: list = []
+    broken = ""
+
+    def do_GET(self):
+        Hub.asked.append(self.path)
+        name = self.path.split("/resolve/main/")[-1]
+        body = json.dumps({"siblings": [{"rfilename": x} for x in Hub.files]}).encode() if self.path == "/api/models/a/m" else Hub.files.get(name)
+        self.send_response(200 if body and name != Hub.broken else 404)
+        self.end_headers()
+        self.wfile.write(body or b"")
+
+    def log_message(self, *_):
+        return None
+
+
+def test_model_files_are_fetched_once(tmp_path):
+    server = http.server.HTTPServer(("127.0.0.1", 0), Hub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    host, folder = f"http://127.0.0.1:{server.server_port}", str(tmp_path / "a" / "m")
+    Hub.broken = "tokenizer.json"
+    with pytest.raises(OSError):
+        fetch_model("a/m", folder, "onnx/model.onnx", host)
+    Hub.broken = ""
+    fetch_model("a/m", folder, "onnx/model.onnx", host)
+    assert fetch_model("a/m", folder, "onnx/model.onnx", host) == []
+    found = {os.path.relpath(os.path.join(d, f), folder): open(os.path.join(d, f), "rb").read() for d, _, names in os.walk(folder) for f in names}
+    assert found == {k: Hub.files[k] for k in ("onnx/model.onnx", "config.json", "tokenizer.json")}
+    assert Hub.asked.count("/a/m/resolve/main/onnx/model.onnx") == 1
+    with pytest.raises(ValueError, match="other.onnx"):
+        fetch_model("a/m", folder, "none.onnx", host)
+    Hub.files["../out.json"] = b"x"
+    fetch_model("a/m", folder, "onnx/model.onnx", host)
+    assert not os.path.exists(tmp_path / "a" / "out.json")
+    server.shutdown()
+
+
 def test_query_phrases():
     assert phrases("parse_config(x) Parse café _ ") == [["parse", "config"], ["x"], ["parse"], ["caf"]]
     assert fold_text("ÉTÉ e\u0301 ß ñ") == "ete e ß n"

@@ -40,8 +40,8 @@ from tessera.runtime import materialize, release, ship, table
 
 QUANTILE = 0.99
 #: Share of the training text that a word or pair must have to be looked up where documents are read.
-HEAVY = 1e-5
-WAVES = 6
+HEAVY = 1e-6
+WAVES = 10
 #: Ids of trusted documents up to this many (8 bytes each), and languages, are broadcast; more are joined by shuffle.
 BROADCAST_IDS, BROADCAST_LANGS = 4_000_000, 100_000
 #: Rows of words and pairs passed on at once.
@@ -180,6 +180,17 @@ class Lookup:
         return out, found
 
 
+_tables: dict[int, tuple] = {}
+
+
+def lookup_of(value: tuple[np.ndarray, np.ndarray]) -> Lookup:
+    """The table of a broadcast value, made once in each worker."""
+    if id(value) not in _tables:
+        _tables.clear()
+        _tables[id(value)] = (value, Lookup(*value))
+    return _tables[id(value)][1]
+
+
 def _score_batches(batches: Iterator[pa.RecordBatch], heavy: Lookup) -> Iterator[pa.RecordBatch]:
     """id, print, key, direct, n: a row for each document with words (direct: what ``heavy`` gives; n: places) and one for each other word and pair (n is 0)."""
 
@@ -220,9 +231,9 @@ def score(texts: DataFrame, model: DataFrame, heavy_share: float = HEAVY, waves:
     shared = spark.sparkContext.broadcast((heavy.column("key").to_numpy(), heavy.column("value").to_numpy()))
 
     def run(batches):
-        from tessera.llm.quality import Lookup, _score_batches
+        from tessera.llm.quality import _score_batches, lookup_of
 
-        yield from _score_batches(batches, Lookup(*shared.value))
+        yield from _score_batches(batches, lookup_of(shared.value))
 
     values = model.select("key", "value")
     parts = None

@@ -209,7 +209,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     known = materialize(signatures(docs, k), "minhash-signatures")
     full = known.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = materialize(full.groupBy("n_shingles", "p1", "p2").agg(F.min("doc_id").alias("rep")), "minhash-classes")
-    reps = full.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # Written, so that joins of hubs with it are joins of plain tables, which adaptive execution splits.
+    reps = full.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch", "buckets")
+    reps = materialize(reps, "minhash-reps")
 
     rows = reps.select("doc_id", F.explode("buckets").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).where("size > 1")

@@ -19,6 +19,8 @@ QUERIES = {
 
 ORACLES = {
     "op1_url_filter": url_filter.oracle(),
+    "op2_embedding_dedup": embedding_dedup.oracle(),
     "op4_line_dedup": line_dedup.ORACLE,
+    "op5_minhash": minhash.oracle(),
     "op6_decontamination": decontamination.ORACLE,
 }

@@ -1,6 +1,7 @@
 """Operators on small tables, each against a plain version, with nulls, ties, repeats and empty tables."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -11,10 +12,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontamination, embedding_dedup, line_dedup, minhash, quality, secrets, sharding, toxicity, url_filter
+from tessera.llm import bpe, decontamination, embedding_dedup, line_dedup, minhash, quality, registry, secrets, sharding, toxicity, url_filter
 from tessera.llm.components import connected_components
 from tests.llm.test_local import plain_best_fit
 
+SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -526,3 +528,16 @@ def test_sharding_of_ties_and_long_texts(spark):
     assert len(long) == 1 and load[long.pop(), 200_016] == 3
     assert sorted(n for (_, size), n in load.items() if size == 22) == [750] * 4
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(n for (t, _), n in load.items() if t == s))) for s in range(5))
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_queries_against_their_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    df, want = registry.QUERIES[name](spark, SF), con.execute(registry.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(columns).collect()), key=repr) == sorted(want.fetchall(), key=repr)

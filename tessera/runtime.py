@@ -23,16 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, and set the size of their batches, once for each application.
+    """Make this package importable in Python workers, once for each application, and bound the batches of this session.
 
     The package goes out as a zip through Spark's own file server, so executors need
     neither the repository nor a shared folder.
     """
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
-    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
     top = os.path.dirname(os.path.abspath(__file__))
     target = os.path.join(tempfile.mkdtemp(prefix="tessera"), "tessera_package.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:

@@ -35,7 +35,7 @@ def term_counts(tokenised_chunks: DataFrame) -> DataFrame:
 
     Terms of a chunk are sorted, so that the first of equal ones counts for df, and a frequent term is one row for each task.
     """
-    own = tokenised_chunks.select(F.array_sort("terms").alias("own"))
+    own = tokenised_chunks.select(F.sort_array("terms").alias("own"))
     first = F.transform("own", lambda t, i: F.struct(t.alias("term"), ((i == 0) | (F.get("own", i - 1) != t)).cast("int").alias("first")))
     found = own.select(F.explode_outer(first).alias("t")).where("t IS NOT NULL")
     return found.groupBy("t.term").agg(F.sum("t.first").alias("df"), F.count("*").alias("cf"))

@@ -92,6 +92,7 @@ class Index:
     def _scan(self) -> DataFrame:
         if not os.path.isdir(self.root):
             raise ValueError(f"not a folder: {self.root}")
+        ship(self.spark)
         self.spark.dataSource.register(CorpusSource)
         return self.spark.read.format("corpus").load(os.path.realpath(self.root))
 

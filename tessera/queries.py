@@ -17,7 +17,7 @@ from tessera.operators import code_chunks as cc
 from tessera.operators import dense, fusion, lexical, sync
 from tessera.operators.line_chunks import NOT_BLANK, line_windows, merge_small
 from tessera.plans.hybrid import Tuning
-from tessera.runtime import materialize, table
+from tessera.runtime import materialize, ship, table
 from tessera.sources.corpus import EXTENSIONS, IGNORE_DIRS, CorpusSource, selects
 
 SPAN = 1_000_000
@@ -80,6 +80,7 @@ def file_scan_filter(spark, d):
 @query()
 def corpus_source(spark, d):
     """The custom source over this package's own folder."""
+    ship(spark)
     spark.dataSource.register(CorpusSource)
     found = spark.read.format("corpus").load(os.path.dirname(os.path.abspath(__file__)))
     return found.select("path", "size", sync.content_hash(F.col("content")).alias("content_hash"), "error")

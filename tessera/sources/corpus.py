@@ -1,6 +1,6 @@
 """Spark source ``corpus``: the files below a folder that are worth indexing.
 
-The driver walks the tree and deals paths to partitions; executors read the bytes. Names with
+The driver lists folders level by level only until it has ``FOLDERS`` of them; executors walk what is below those and read the bytes. Names with
 a leading dot or underscore are files like any other, which Spark's own binaryFile source leaves out.
 """
 
@@ -21,7 +21,8 @@ EXTENSIONS = """.go .py .js .jsx .mjs .cjs .ts .tsx .java .kt .scala .rs .rb .ph
 .sh .bash .ps1 .sql .proto .graphql .html .css .scss .md .rst .txt .json .yaml .yml .toml .ini .shader .hlsl .cginc .compute
 .asmdef .uxml .uss""".split()
 MAX_FILE_SIZE = 1 << 20
-FILES_IN_PARTITION = 200
+#: Files of a partition that the driver has listed, and folders at which it leaves walking to the executors.
+FILES_IN_PARTITION, FOLDERS = 200, 64
 
 
 @dataclass
@@ -38,13 +39,21 @@ def extension(name: str) -> str:
     return name[at:].lower() if at >= 0 else ""
 
 
-def walk(root: str, extensions=EXTENSIONS, ignore_dirs=IGNORE_DIRS, max_file_size: int = MAX_FILE_SIZE) -> Iterator[Candidate]:
-    """Files below ``root`` in lexical order; what can't be read or listed is passed over."""
-    root = os.path.realpath(root)
-    allowed, ignored = {e.lower() for e in extensions}, set(ignore_dirs)
-    limit = max_file_size if max_file_size > 0 else MAX_FILE_SIZE
+@dataclass(frozen=True)
+class Rules:
+    """Which files below a root are taken, and which folders are entered."""
+
+    root: str
+    extensions: frozenset[str]
+    ignored: frozenset[str]
+    limit: int
 
-    def below(folder: str) -> Iterator[Candidate]:
+    @classmethod
+    def of(cls, root: str, extensions=EXTENSIONS, ignore_dirs=IGNORE_DIRS, max_file_size: int = MAX_FILE_SIZE) -> Rules:
+        return cls(os.path.realpath(root), frozenset(e.lower() for e in extensions), frozenset(ignore_dirs), max_file_size if max_file_size > 0 else MAX_FILE_SIZE)
+
+    def inside(self, folder: str) -> Iterator[Candidate | str]:
+        """Files and folders (as paths) of one folder that pass, by name; what can't be read or listed is passed over."""
         try:
             entries = sorted(os.scandir(folder), key=lambda e: e.name)
         except OSError:
@@ -52,16 +61,36 @@ def walk(root: str, extensions=EXTENSIONS, ignore_dirs=IGNORE_DIRS, max_file_siz
         for e in entries:
             try:
                 if e.is_dir(follow_symlinks=False):
-                    if e.name not in ignored and not e.name.startswith("."):
-                        yield from below(e.path)
-                elif extension(e.name) in allowed:
+                    if e.name not in self.ignored and not e.name.startswith("."):
+                        yield e.path
+                elif extension(e.name) in self.extensions:
                     s = e.stat(follow_symlinks=False)
-                    if 0 < s.st_size <= limit:
-                        yield Candidate(e.path, os.path.relpath(e.path, root).replace(os.sep, "/"), s.st_size, int(s.st_mtime))
+                    if 0 < s.st_size <= self.limit:
+                        yield Candidate(e.path, os.path.relpath(e.path, self.root).replace(os.sep, "/"), s.st_size, int(s.st_mtime))
             except OSError:
                 continue
 
-    yield from below(root)
+    def below(self, folder: str) -> Iterator[Candidate]:
+        for x in self.inside(folder):
+            if isinstance(x, str):
+                yield from self.below(x)
+            else:
+                yield x
+
+    def dealt(self, folders: int = FOLDERS) -> tuple[list[Candidate], list[str]]:
+        """Files met, and folders left to walk, at the first level that has ``folders`` of these or has none."""
+        files, level = [], [self.root]
+        while level and len(level) < folders:
+            found = [x for folder in level for x in self.inside(folder)]
+            files += [x for x in found if not isinstance(x, str)]
+            level = [x for x in found if isinstance(x, str)]
+        return files, level
+
+
+def walk(root: str, extensions=EXTENSIONS, ignore_dirs=IGNORE_DIRS, max_file_size: int = MAX_FILE_SIZE) -> Iterator[Candidate]:
+    """Files below ``root`` in lexical order; what can't be read or listed is passed over."""
+    rules = Rules.of(root, extensions, ignore_dirs, max_file_size)
+    yield from rules.below(rules.root)
 
 
 def selects(path: Column, size: Column, extensions=EXTENSIONS, ignore_dirs=IGNORE_DIRS, max_file_size: int = MAX_FILE_SIZE) -> Column:
@@ -72,12 +101,11 @@ def selects(path: Column, size: Column, extensions=EXTENSIONS, ignore_dirs=IGNOR
     return kind.isin([e.lower() for e in extensions]) & (size > 0) & (size <= max_file_size) & ~hidden
 
 
-@dataclass
-class _Files(InputPartition):
-    files: list
+class _Part(InputPartition):
+    """Files to read, or a folder to walk and read."""
 
-    def __init__(self, files: list) -> None:
-        self.files = files
+    def __init__(self, rules: Rules, files: list[Candidate], folder: str = "") -> None:
+        self.rules, self.files, self.folder = rules, files, folder
 
 
 class _Reader(DataSourceReader):
@@ -89,21 +117,22 @@ class _Reader(DataSourceReader):
         split = lambda k, default: [x for x in o[k].split(",") if x] if k in o else default
         if not os.path.isdir(o["path"]):
             raise ValueError(f"not a folder: {o['path']}")
-        found = list(walk(o["path"], split("extensions", EXTENSIONS), split("ignoredirs", IGNORE_DIRS), int(o.get("maxfilesize", MAX_FILE_SIZE))))
+        rules = Rules.of(o["path"], split("extensions", EXTENSIONS), split("ignoredirs", IGNORE_DIRS), int(o.get("maxfilesize", MAX_FILE_SIZE)))
+        files, folders = rules.dealt(int(o.get("folders", FOLDERS)))
         n = int(o.get("filesinpartition", FILES_IN_PARTITION))
-        return [_Files([(c.full, c.path, c.size, c.mod_time) for c in found[i : i + n]]) for i in range(0, len(found), n)] or [_Files([])]
+        return [_Part(rules, files[i : i + n]) for i in range(0, len(files), n)] + [_Part(rules, [], x) for x in folders] or [_Part(rules, [])]
 
     def read(self, partition):
-        for full, path, size, mod_time in partition.files:
+        for c in partition.rules.below(partition.folder) if partition.folder else partition.files:
             try:
-                with open(full, "rb") as f:
-                    yield path, size, mod_time, f.read(), None
+                with open(c.full, "rb") as f:
+                    yield c.path, c.size, c.mod_time, f.read(), None
             except OSError as e:
-                yield path, size, mod_time, None, f"{path}: {e}"
+                yield c.path, c.size, c.mod_time, None, f"{c.path}: {e}"
 
 
 class CorpusSource(DataSource):
-    """``spark.read.format("corpus").load(folder)``; options extensions, ignoreDirs (comma-separated), maxFileSize."""
+    """``spark.read.format("corpus").load(folder)``; options extensions, ignoreDirs (comma-separated), maxFileSize, folders."""
 
     @classmethod
     def name(cls) -> str:

@@ -3,6 +3,7 @@
 import http.server
 import json
 import os
+import pickle
 import sqlite3
 import threading
 
@@ -15,7 +16,7 @@ from tessera.operators.code_chunks import Chunk, chunk_source, line_chunks, merg
 from tessera.operators.embed import HashingEmbedder, OllamaEmbedder, create, fetch_model, wanted_model_files, with_fallback
 from tessera.operators.lexical import bm25_in_memory
 from tessera.settings import Settings
-from tessera.sources.corpus import extension, walk
+from tessera.sources.corpus import CorpusSource, extension, walk
 
 
 def tree(root, files):
@@ -36,6 +37,18 @@ def test_walk(tmp_path):
     assert extension(".py") == ".py" and extension("a.tar.GZ") == ".gz" and extension("Makefile") == ""
 
 
+@pytest.mark.parametrize("folders", [1, 2, 3, 5, 100])
+def test_partitions_hold_what_a_walk_finds(tmp_path, folders):
+    """Every file once, however many folders are left to the executors."""
+    tree(tmp_path, {f"a{i}/b{j}/c{k}/f{n}.py": "x" * (n + 1) for i in range(2) for j in range(2) for k in range(i + 1) for n in range(3)} | {"top.py": "x", "a0/x.md": "y", "node_modules/n.js": "z", "a1/.git/g.py": "z", "a1/e.py": ""})
+    reader = CorpusSource({"path": str(tmp_path), "folders": str(folders), "filesinpartition": "2"}).reader(None)
+    parts = reader.partitions()
+    got = [row for p in pickle.loads(pickle.dumps(parts)) for row in reader.read(p)]
+    assert sorted(r[0] for r in got) == sorted(c.path for c in walk(str(tmp_path))) and len(got) == 20
+    assert all(len(content) == size and error is None for _, size, _, content, error in got)
+    assert sum(bool(p.folder) for p in parts) == {1: 1, 2: 2, 3: 4, 5: 6}.get(folders, 0)
+
+
 def symbols(chunks):
     return [c.symbol for c in chunks]
 

@@ -1,5 +1,6 @@
 """The index on Spark: search operators, incremental runs, snapshots, streaming, and the catalogue against DuckDB."""
 
+import hashlib
 import importlib.util
 import os
 import time
@@ -307,6 +308,18 @@ def test_catalogue(spark, duck, name):
     assert sorted((row(r) for r in df.select(columns).collect()), key=repr) == sorted(map(row, got.fetchall()), key=repr)
 
 
+def test_corpus_source_reads_what_is_there(spark):
+    top = os.path.join(os.path.dirname(__spark_entry__.__file__), "tessera")
+    want = {}
+    for d, dirs, names in os.walk(top):
+        dirs[:] = [x for x in dirs if not x.startswith(".") and x != "__pycache__"]
+        for f in names:
+            with open(os.path.join(d, f), "rb") as x:
+                if f.endswith(".py") and (content := x.read()):
+                    want[os.path.relpath(os.path.join(d, f), top)] = (len(content), hashlib.sha256(content).hexdigest(), None)
+    assert {r.path: (r.size, r.content_hash, r.error) for r in __spark_entry__.queries()["corpus_source"](spark, SF).collect()} == want
+
+
 def test_entry_without_llm(monkeypatch):
     real = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("tessera.llm", "corpus_pipeline") else real(name, *a))

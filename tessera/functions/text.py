@@ -77,6 +77,7 @@ def cosine(a: Column, b: Column) -> Column:
 def hash_embedding(words: Column, dim: int) -> Column:
     """Feature hashing: counts of tokens by the first 32 bits of their md5, modulo ``dim``."""
     bucket = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int")
-    count = lambda hits: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(hits, lambda h: h == i)).cast("float"))
+    # What is left without a bucket's hits: one built-in pass for each bucket, where a filter would call a lambda for each word.
+    count = lambda hits: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(hits) - F.size(F.array_remove(hits, i))).cast("float"))
     # Bound to a variable of an outer lambda, so that words are hashed once and not once for each bucket.
     return F.get(F.transform(F.array(F.transform(words, bucket)), count), F.lit(0))

@@ -88,6 +88,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
         from tessera.llm.minhash import _signature_batches
 
         yield from _signature_batches(batches, k)
+        pa.default_memory_pool().release_unused()  # a worker outlives its task
 
     schema = "doc_id long, n_shingles long, p1 long, p2 long, buckets array<long>, sketch binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -349,6 +349,7 @@ def _scored(docs: DataFrame, lexicon: list, curve: list[float] | None) -> DataFr
             got = np.array([g.evidence(t.as_py()) for t in b.column(1)], dtype=np.float64).reshape(-1, 3)
             score = 1 / (1 + np.exp(-np.clip(_features(*got.T) @ w, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in got.T), pa.array(score)], ["doc_id", "total", "most", "n", "score"])
+        pa.default_memory_pool().release_unused()  # a worker outlives its task
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, total double, most double, n double, score double")
@@ -386,6 +387,7 @@ def remove_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             got = np.array([g.evidence(t.as_py()) for t in b.column(at)], dtype=np.float64).reshape(-1, 3)
             yield b.filter(pa.array(_features(*got.T) @ w < 0))
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -8,12 +8,11 @@ frequent label nor a dense region is held by one task. Pairs that reach the thre
 cosine; a task passes on a forest that joins them, and the union over all passes gives components. Within each
 component all pairs are compared in blocks of bounded size, which counts every link of its vectors.
 
-A window is a bound, so links between components may lie outside all windows. Each label is therefore measured: about
-``SAMPLE`` of its vectors (all of a smaller label), those with the least hash of their id, are compared with
-all others. Where the passes have lost a single link of these, they are too few for the label, and all its pairs are
-compared, in blocks of bounded size; what the sample shows complete stays as it is. The measure grows in proportion to
-the table, and only labels that passes can't resolve cost the square of their size. A label of up to ``SAMPLE`` classes is exact; in
-a larger one that shows no loss, fewer than 3 / ``SAMPLE`` of the vectors have lost a link with 95 % confidence.
+A window is a bound, so links between components may lie outside all windows. An exact check follows: every two classes of
+a label that are in different components meet in a pair of blocks, and those that the passes have lost are counted and
+join their components. That costs the square of a label's size, so most pairs are told apart by their distance in the few orthogonal axes in
+which a block spreads most, in single precision with a margin for its rounding; what is left is decided by the cosine in double precision.
+Pairs of blocks are dealt in waves, so that a wave sends a vector at most ``2 * SPREAD`` times.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows with
 a null label or id, link with nothing, and are their own component; vectors of different dimensions
@@ -37,10 +36,10 @@ from tessera.runtime import materialize, ship, table
 
 #: Passes, those made in one job, and vectors that a window reaches ahead.
 PASSES, TOGETHER, WINDOW, BITS = 24, 6, 48, 62
-#: Vectors of a label that measure its passes, about.
-SAMPLE = 8192
 #: Numbers (vectors times dimension) in a block, at least and at most; rows that a task compares with a block at once.
 LEAST, MOST, TILE = 1 << 16, 1 << 20, 256
+#: Distances between blocks that a wave of the check covers; vectors of the other block that a tile of it holds.
+SPREAD, WIDTH = 3, 4096
 GROUP = ["label", "dim"]
 
 
@@ -252,34 +251,109 @@ def _block_links(vectors: DataFrame, group: list[str], threshold: float, least:
     return blocks.groupBy("bin", "i", "j").applyInPandas(run, "vec_id long, n_links long, root long")
 
 
-def _unresolved(classes: DataFrame, counted: DataFrame, threshold: float, sample: int, most: int) -> DataFrame:
-    """label, dim of the groups of which a sampled vector has more links than ``counted`` (vec_id, n_links) has."""
+def _close_pairs(x: np.ndarray, p: np.ndarray, q: np.ndarray, component: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows a of ``p`` and b of ``q`` (the same rows, or none of them) of all pairs of unit vectors ``x`` in different components that reach the threshold, each pair once.
+
+    Half the squared distance of linked vectors is at most 1 - threshold, in any orthogonal axes and in some of them too.
+    The axes are those in which ``p`` spreads most, as many as set its vectors eight times as far apart on average; all of them once
+    too many pairs of a tile are left. Rows go in the order of the first axis, which leaves out those too far along it.
+    """
+    dim, far, same = x.shape[1], 1 - threshold, len(p) == len(q) and bool((p == q).all())
+    middle, axes, k = x[p].mean(axis=0), np.eye(dim), dim
+    if min(len(p), len(q)) > 4 * dim:
+        spread, axes = np.linalg.eigh(np.cov(x[p], rowvar=False, bias=True).reshape(dim, dim))
+        axes = axes[:, ::-1]
+        k = min(dim, int(np.searchsorted(np.cumsum(spread[::-1]), 8 * far)) + 1)
+    along = x @ axes[:, 0]
+    p, q = p[np.argsort(along[p], kind="stable")], q[np.argsort(along[q], kind="stable")]
+    ahead, reach = along[q], max(2 * far, 0) ** 0.5 + 1e-6
+
+    def side(rows: np.ndarray, k: int, half: int) -> np.ndarray:
+        out = np.ones((len(rows), k + 2), dtype=np.float32)
+        for lo in range(0, len(rows), WIDTH):
+            z = (x[rows[lo : lo + WIDTH]] - middle) @ axes[:, :k]
+            out[lo : lo + WIDTH, :k] = z
+            out[lo : lo + WIDTH, half] = np.einsum("ij,ij->i", z, z) / -2
+        return out
+
+    def sides(k: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """Factors whose products are minus half the squared distances, and the least product of a link: k + 2 terms of at most 8 together, each rounded by 2**-24."""
+        return side(p, k, k), side(q, k, k + 1).T, -far - 1e-6 * (k + 8)
+
+    left, right, least = sides(k)
+    step = max(1, MOST // dim)
+    for lo in range(0, len(p), TILE):
+        ends = along[p[lo]] - reach, along[p[min(lo + TILE, len(p)) - 1]] + reach
+        first, last = np.searchsorted(ahead, ends[0], "left"), np.searchsorted(ahead, ends[1], "right")
+        for at in range(max(first, lo) if same else first, last, WIDTH):
+            width = min(WIDTH, last - at)
+            hit = np.flatnonzero(left[lo : lo + TILE] @ right[:, at : at + width] >= least)
+            if k < dim and len(hit) > TILE * WIDTH // 64:
+                k = dim
+                left, right, least = sides(k)
+                hit = np.flatnonzero(left[lo : lo + TILE] @ right[:, at : at + width] >= least)
+            a, b = lo + hit // width, at + hit % width
+            apart = component[p[a]] != component[q[b]]
+            if same:
+                apart &= a < b
+            a, b = p[a[apart]], q[b[apart]]
+            for i in range(0, len(a), step):
+                c, d = a[i : i + step], b[i : i + step]
+                linked = np.einsum("ij,ij->i", x[c], x[d]) >= threshold
+                if linked.any():
+                    yield c[linked], d[linked]
+
+
+def _links_between(vectors: DataFrame, threshold: float, least: int, most: int) -> DataFrame:
+    """vec_id, n_links, root: of every vector that a pair of blocks links with one of its label in another component, these links and the vector that stands for those it reaches."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        from tessera.llm.embedding_dedup import TILE, _matrix, _unit
-
-        asked, ids, weight = pdf["asked"].to_numpy(), pdf["vec_id"].to_numpy(), pdf["n"].to_numpy()
-        x = _unit(_matrix(pdf["embedding"], np.arange(len(pdf))))
-        q, y = np.flatnonzero(asked), np.flatnonzero(~asked)
-        n = np.zeros(len(q), dtype=np.int64)
-        for lo in range(0, len(q), TILE):
-            t = q[lo : lo + TILE]
-            linked = x[t] @ x[y].T >= threshold
-            n[lo : lo + TILE] = (linked & (ids[t][:, None] != ids[y])) @ weight[y]
-        return pd.DataFrame({"label": pdf["label"].iloc[:1].repeat(len(q)), "dim": pdf["dim"].iloc[:1].repeat(len(q)), "vec_id": ids[q], "true": n})
-
-    sizes = classes.groupBy(*GROUP).agg(F.count("*").alias("size"), F.sum("dim").alias("numbers")).where("size > 1")
-    rows = classes.join(sizes, GROUP).withColumn("blocks", F.ceil(F.col("numbers") / most).cast("int"))
-    asked = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) * F.col("size") < F.lit(sample * (1 << 30)))
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asked", F.lit(True))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).withColumn("asked", F.lit(False))
-    true = dealt.unionByName(asked).select("label", "dim", "vec_id", "n", "embedding", "block", "asked").groupBy(*GROUP, "block").applyInPandas(run, "label string, dim int, vec_id long, true long")
-    true = true.groupBy(*GROUP, "vec_id").agg(F.sum("true").alias("true"))
-    return true.join(counted, "vec_id", "left").where(F.col("true") > F.coalesce("n_links", F.lit(0))).select(*GROUP).distinct()
-
-
-def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.98, sample: int = SAMPLE, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row of ``rows`` (vec_id, embedding, label)."""
+        from tessera.llm.embedding_dedup import GROUP, _close_pairs, _local_roots, _matrix, _unit
+
+        ids, block, weight, component = (pdf[c].to_numpy() for c in ("vec_id", "b", "n", "component"))
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        kinds = pdf.groupby(GROUP, sort=False).ngroup().to_numpy()
+        n, root = np.zeros(len(pdf), dtype=np.int64), np.arange(len(pdf))
+        order = np.argsort(kinds, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(kinds[order])) + 1):
+            p, q, own = np.flatnonzero(block[at] == i), np.flatnonzero(block[at] == j), np.arange(len(at))
+            if not len(p) or not len(q):
+                continue
+            for a, b in _close_pairs(_unit(_matrix(pdf["embedding"], at)), p, q, component[at], threshold):
+                np.add.at(n, at[a], weight[at[b]])
+                np.add.at(n, at[b], weight[at[a]])
+                own = _local_roots(len(at), np.concatenate([np.arange(len(at)), a]), np.concatenate([own, b]))
+            root[at] = at[own]
+        hit = n > 0
+        return pd.DataFrame({"vec_id": ids[hit], "n_links": n[hit], "root": ids[root[hit]]})
+
+    sizes = vectors.groupBy(*GROUP).agg(F.count("*").alias("size"), F.sum("dim").alias("numbers")).where("size > 1")
+    rows = materialize(vectors.join(sizes.drop("size"), GROUP), "vec-between")
+    # tasks of equal size, four for each partition where the least and the most allow it
+    work = sizes.agg(F.coalesce(F.sum(F.col("numbers").cast("double") ** 2), F.lit(0.0))).first()[0]
+    block = min(max(least, int((work / (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))) ** 0.5)), most)
+    blocks = F.ceil(F.col("numbers") / F.lit(block)).cast("long")
+    rows = rows.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    small = F.col("blocks") == 1
+    top, units = rows.agg(F.coalesce(F.max("blocks"), F.lit(1)), F.coalesce(F.sum(F.when(small, F.col("dim"))), F.lit(0))).first()
+    shared = F.pmod(F.xxhash64(*GROUP), F.lit(max(1, -(-units // block)))).cast("string")
+    rows = rows.withColumn("bin", F.when(small, shared).otherwise(F.concat_ws(":", F.lit("g"), *GROUP)))
+
+    def wave(first: int) -> DataFrame:
+        """Links of all pairs of blocks b and b + k, the last followed by the first, for k from ``first`` to ``first + SPREAD - 1``."""
+        others = F.expr(f"array_distinct(flatten(transform(sequence({first}L, least({first + SPREAD - 1}L, blocks div 2)), k -> array(pmod(b + k, blocks), pmod(b - k, blocks)))))")
+        dealt = rows.where(F.expr(f"blocks div 2 >= {first}")).withColumn("_o", F.explode(others))
+        dealt = dealt.withColumns({"i": F.least("b", "_o"), "j": F.greatest("b", "_o")}).select("bin", "i", "j", "b", *GROUP, "vec_id", "n", "component", "embedding")
+        return materialize(dealt.groupBy("bin", "i", "j").applyInPandas(run, "vec_id long, n_links long, root long"), "vec-missed")
+
+    return reduce(DataFrame.union, (wave(k) for k in range(0, top // 2 + 1, SPREAD)))
+
+
+def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.98, sample: int = 0, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row of ``rows`` (vec_id, embedding, label).
+
+    ``sample`` is accepted for earlier callers and changes nothing: all vectors are compared.
+    """
     ship(rows.sparkSession)
     typed = rows.where(_is_valid()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
     one = typed.groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v")).select("vec_id", "v.label", "v.embedding")
@@ -294,13 +368,11 @@ def near_duplicate_vectors(rows: DataFrame, threshold: float = 0.98, sample: int
     within = _block_links(members, ["component"], threshold, least, most).groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
     within = materialize(within, "vec-counts")
 
-    open_groups = materialize(_unresolved(classes.drop("print"), within, threshold, sample, most), "vec-open")
-    if not open_groups.isEmpty():
-        rest = classes.drop("print").join(open_groups, GROUP, "left_semi")
-        exact = materialize(_block_links(rest, GROUP, threshold, least, most), "vec-links")
-        counts = exact.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
-        within = materialize(within.join(rest.select("vec_id"), "vec_id", "left_anti").unionByName(counts), "vec-counts")
-        more = exact.select(F.col("vec_id").alias("a"), F.col("root").alias("b")).where("a <> b")
+    parts = classes.drop("print").join(joined.withColumnRenamed("node", "vec_id"), "vec_id", "left").withColumn("component", F.coalesce("component", "vec_id"))
+    missed = _links_between(parts, threshold, least, most)
+    if not missed.isEmpty():
+        within = materialize(within.union(missed.select("vec_id", "n_links")).groupBy("vec_id").agg(F.sum("n_links").alias("n_links")), "vec-counts")
+        more = missed.select(F.col("vec_id").alias("a"), F.col("root").alias("b")).where("a <> b")
         joined = connected_components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(more).distinct())
 
     found = classes.join(within, "vec_id", "left").join(joined.withColumnRenamed("node", "vec_id"), "vec_id", "left")

@@ -279,5 +279,20 @@ def test_lookup():
     assert not quality.Lookup(keys[:0], np.zeros(0)).get(keys)[1].any()
 
 
+@pytest.mark.parametrize("kind", ["even", "dense", "clusters", "opposite", "line"])
+@pytest.mark.parametrize("threshold", [0.98, 0.7, -0.5])
+def test_close_pairs_against_all_pairs(kind, threshold):
+    rng = np.random.default_rng(6)
+    n, x = 600, rng.standard_normal((600, 16))
+    x = {"even": x, "dense": 0.3 * x + 3, "clusters": 0.15 * x + rng.standard_normal((5, 16))[rng.integers(0, 5, n)], "opposite": x + rng.choice([-5, 5], (n, 1)), "line": x[:, :1]}[kind]
+    x, component = embedding_dedup._unit(x), rng.integers(0, n // 2, n)
+    linked = (x @ x.T >= threshold) & (component[:, None] != component)
+    for p, q in ((np.arange(n), np.arange(n)), (np.arange(n // 2), np.arange(n // 2, n)), (np.arange(0, n, 150), np.arange(1, n, 150))):
+        found = [tuple(sorted(t)) for a, b in embedding_dedup._close_pairs(x, p, q, component, threshold) for t in zip(a.tolist(), b.tolist(), strict=True)]
+        asked = np.zeros((n, n), dtype=bool)
+        asked[np.ix_(p, q)] = True
+        assert len(found) == len(set(found)) and set(found) == {tuple(sorted(t)) for t in np.argwhere(linked & asked).tolist()}
+
+
 def test_local_roots():
     assert embedding_dedup._local_roots(6, np.array([4, 3, 1]), np.array([5, 4, 2])).tolist() == [0, 1, 1, 3, 3, 3]

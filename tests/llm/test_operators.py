@@ -201,6 +201,29 @@ def test_passes_find_what_the_sample_does_not_ask_for(spark):
     assert np.mean([got[i] == i - i % 2 for i in range(1500)]) > 0.999
 
 
+@pytest.mark.parametrize("least", [embedding_dedup.LEAST, 1 << 12])
+def test_embedding_dedup_finds_what_passes_lose(spark, least):
+    """Links that the passes lose in a dense label, and that no sample asks for, in one block and in many, over several waves."""
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((2500, 64))
+    x[:, 0] = 0
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, 400, 2):  # partners at a cosine of 0.981 among vectors that are all at about 0.95
+        away = x[i + 1] - x[i] * (x[i] @ x[i + 1])
+        x[i + 1] = 0.62 * x[i] + (1 - 0.62**2) ** 0.5 * away / np.linalg.norm(away)
+    x *= 0.05**0.5
+    x[:, 0] = 0.95**0.5
+    x[2499] = x[0]
+    label = np.where(np.arange(2500) < 2400, 1, 2)
+    df = spark.createDataFrame([(i, v.tolist(), int(y)) for i, (v, y) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicate_vectors(df, sample=1, least=least, most=least).collect()}
+    linked = (x @ x.T >= 0.98) & (label[:, None] == label)
+    np.fill_diagonal(linked, False)
+    want = components(range(len(x)), np.argwhere(linked).tolist())
+    assert linked.sum() >= 400 and want[1] == 0 and want[2499] == 2499
+    assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (linked[i].sum(), c, c == i) for i, c in want.items()}
+
+
 # 3
 
 
